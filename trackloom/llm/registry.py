@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES (name -> function of a session and a folder) and SQL (name -> DuckDB text).
-MODULES = ("bpe",)
+MODULES = ("bpe", "neardup", "substrings")
 
 
 def _all(what: str) -> dict:

@@ -21,6 +21,7 @@ STEP_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -54,6 +55,12 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of some MB, as texts can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

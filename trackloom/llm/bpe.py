@@ -13,14 +13,16 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 
 import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from trackloom.llm.shared import documents
+from trackloom.llm.shared import bounded_batches, documents
 
 #: Entries of the memos of one worker, which start anew when full (bounds memory, never results), and the longest match that is kept.
 MEMO_ENTRIES, MEMO_CHARS = 400_000, 48
@@ -197,6 +199,34 @@ def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def token_rows(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, carried columns, n_tokens, tokens): ids packed as little-endian integers of 16 bits, or 32 where the vocabulary needs them.
+
+    Every list is decoded again; a text that doesn't come back whole stops the job.
+    """
+    spark = df.sparkSession
+    bounded_batches(spark)
+    vocabulary = _Vocabulary(spark, path, pattern)
+    put = df.select(F.col(text_col).alias("t"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate((id_col, *carry))))
+    schema = StructType([*put.schema.fields[1:], StructField("n", LongType()), StructField("tokens", BinaryType())])
+
+    def run(batches):
+        codec = codec_of(vocabulary)
+        kind = "H" if max(codec.tokens) < 1 << 16 else "I"
+        for whole in batches:
+            for b in _rows(whole):
+                n, packed = [], []
+                for text in b.column(0).to_pylist():
+                    ids = codec.encode(text) if text else []
+                    if codec.decode(ids) != (text or "").encode("utf-8", "replace"):
+                        raise ValueError("a text was not restored")
+                    n.append(len(ids))
+                    packed.append(array(kind, ids).tobytes())
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(n, pa.int64()), pa.array(packed, pa.binary())], schema.names)
+
+    return put.mapInArrow(run, schema).toDF(id_col, *carry, "n_tokens", "tokens")
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

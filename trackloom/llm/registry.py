@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES (name -> function of a session and a folder) and SQL (name -> DuckDB text).
-MODULES = ("bpe", "neardup", "substrings")
+MODULES = ("langid", "bpe", "topk", "toxicity", "neardup", "sharding", "merkle", "urls", "substrings", "mixing")
 
 
 def _all(what: str) -> dict:
@@ -15,8 +15,14 @@ def _all(what: str) -> dict:
     return found
 
 
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return _all("QUERIES")
+    return _all("QUERIES") | {"pipeline": _pipeline}
 
 
 def oracle_sql() -> dict:

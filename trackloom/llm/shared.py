@@ -12,6 +12,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,12 +118,12 @@ def steps(column: pa.Array, most: int = STEP_BYTES):
 
 
 class Words:
-    """Words of a slice of texts: `hash` per word, `doc` (row in the slice) per word, `first`/`last` word of each row."""
+    """Words of a slice of texts: `hash` per word, `doc` (row in the slice) per word, `first`/`last` word of each row. A space must be a separator."""
 
-    def __init__(self, texts: list[bytes | None], lower: bool = False, spans: bool = False):
+    def __init__(self, texts: list[bytes | None], lower: bool = False, spans: bool = False, separators: np.ndarray = _SPACE):
         buf = b" " + b" ".join(t or b"" for t in texts) + b" "
         raw = np.frombuffer(buf, np.uint8)
-        space = _SPACE[raw]
+        space = separators[raw]
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
         start, end = edge[0::2], edge[1::2]
         lengths = np.fromiter((len(t) if t else 0 for t in texts), np.int64, len(texts))

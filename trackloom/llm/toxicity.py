@@ -2,7 +2,7 @@
 
 A text's features are the distinct hashes of its lower-cased words (runs of letters, digits and bytes above 127). The model has one weight a hash, shared by all thresholds, and
 ordered thresholds between the grades 0 .. K: P(grade > k) = sigmoid(w . x - threshold_k). It is fitted to a bounded sample of labelled
-documents by gradient steps (Adam) on the likelihood with a quadratic penalty. Every whole text then gets its expected severity, the sum over k of
+documents by gradient steps (Adam) on the likelihood with a quadratic penalty, over the words that a likelihood-ratio test finds telling. Every whole text then gets its expected severity, the sum over k of
 P(grade > k), divided by K.
 
 Grades of `labels`: 0 not toxic, 1 toxic, 2 toxic and of quality 0. Null and empty texts have no features, so only the thresholds
@@ -21,7 +21,9 @@ from trackloom.llm.shared import U64, Words, bounded_batches, cut, documents, st
 
 BUCKETS = 1 << 18
 #: Labelled documents that are fitted at most; weights of words in fewer of them stay 0.
-SAMPLE, LEAST_DOCUMENTS = 12_000, 4
+SAMPLE, LEAST_DOCUMENTS = 12_000, 3
+#: Least likelihood ratio of a word that is fitted: the 0.999 quantile of chi-squared with one degree of freedom.
+TELLING = 10.83
 _OTHER = np.ones(256, bool)
 _OTHER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
@@ -40,6 +42,20 @@ def _feature_rows(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(bucket.astype(np.int32)))], ["grade", "x"])
 
 
+def telling(grades: np.ndarray, doc: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """The buckets whose presence depends on a threshold by the likelihood-ratio test; chance alone passes one in a thousand."""
+    n, found = len(grades), np.bincount(bucket, minlength=BUCKETS).astype(float)
+    out = np.zeros(BUCKETS, bool)
+    for c in range(int(grades.max(initial=0))):
+        above = (grades > c).astype(float)
+        with_it, total = np.bincount(bucket, above[doc], BUCKETS), above.sum()
+        ratio = np.zeros(BUCKETS)
+        for seen, mean in ((with_it, found * total / n), (found - with_it, found * (n - total) / n), (total - with_it, (n - found) * total / n), (n - total - found + with_it, (n - found) * (n - total) / n)):
+            ratio += 2 * seen * np.log(np.maximum(seen, 1e-9) / np.maximum(mean, 1e-9)) * (seen > 0)
+        out |= ratio >= TELLING
+    return out & (found >= LEAST_DOCUMENTS)
+
+
 class Model:
     """weights by bucket, and the thresholds of grades."""
 
@@ -47,29 +63,26 @@ class Model:
         self.weights, self.thresholds = weights.astype(np.float32), thresholds
 
     @classmethod
-    def fit(cls, grades: np.ndarray, doc: np.ndarray, bucket: np.ndarray, steps: int = 160, rate: float = 0.1, penalty: float = 2e-5) -> Model:
+    def fit(cls, grades: np.ndarray, doc: np.ndarray, bucket: np.ndarray, steps: int = 200, rate: float = 0.1, penalty: float = 1e-4) -> Model:
         k = int(grades.max(initial=0))
         if k == 0 or (grades == grades[0]).all():
             return cls(np.zeros(BUCKETS), np.zeros(0))
-        common = np.bincount(bucket, minlength=BUCKETS) >= LEAST_DOCUMENTS
-        used = common[bucket]
+        used = telling(grades, doc, bucket)[bucket]
         names, column = np.unique(bucket[used], return_inverse=True)
         doc, n, width = doc[used], len(grades), len(names)
-        w, cuts = np.zeros(width), np.array([-np.log((grades > c).mean() / max((grades <= c).mean(), 1e-9) + 1e-9) for c in range(k)])
-        above = (grades[:, None] > np.arange(k)).astype(float)
+        share = np.clip([(grades > c).mean() for c in range(k)], 1e-6, 1 - 1e-6)
+        w, cuts = np.zeros(width), np.log((1 - share) / share)
+        row = np.arange(n)
         m, v = np.zeros(width + k), np.zeros(width + k)
         for t in range(1, steps + 1):
             score = np.bincount(doc, w[column], n)
             p = 1 / (1 + np.exp(-np.clip(score[:, None] - cuts, -30, 30)))
             ends = np.hstack([np.ones((n, 1)), p, np.zeros((n, 1))])
-            mass = np.maximum(ends[np.arange(n), grades] - ends[np.arange(n), grades + 1], 1e-9)
+            mass = np.maximum(ends[row, grades] - ends[row, grades + 1], 1e-9)
             slope = np.hstack([np.zeros((n, 1)), p * (1 - p), np.zeros((n, 1))])
-            lower, upper = slope[np.arange(n), grades], slope[np.arange(n), grades + 1]
-            by_score = -(lower - upper) / mass / n
-            by_cut = np.zeros(k)
-            for c in range(k):
-                by_cut[c] = (lower * (grades == c + 1) - upper * (grades == c)).dot(1 / mass) / n
-            g = np.concatenate([np.bincount(column, by_score[doc], width) + penalty * w, by_cut])
+            lower, upper = slope[row, grades] / mass / n, slope[row, grades + 1] / mass / n
+            by_cut = [(lower * (grades == c + 1) - upper * (grades == c)).sum() for c in range(k)]
+            g = np.concatenate([np.bincount(column, (upper - lower)[doc], width) + penalty * w, by_cut])
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8) * (1 - t / (steps + 1))
             w = w - step[:width]

@@ -10,6 +10,9 @@ becomes the window's anchor (ties by name). Equal windows choose equal anchors,
 than windows are shuffled. Only where an anchor's words occur in two documents are the windows around it named and
 compared, each by a hash of all its words; this verifies the repeats exactly, up to collisions of 64-bit names.
 
+Texts that are equal as a whole are one symbol in the end; all but the first of such copies take no part in the search and lose every
+word (if they have a window at all).
+
 A word goes if a window that covers it also starts in a document with a smaller id. Null and empty texts have no words;
 texts under one window lose nothing; a null id counts as larger than all; rows of one id never remove each other's words.
 Repeated rows get equal results. Other columns are carried along.
@@ -21,11 +24,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from trackloom.llm.shared import U64, Words, documents, mix, partitions, steps, text_bytes
+from trackloom.llm.shared import U64, Words, bounded_batches, documents, mix, partitions, steps, text_bytes
 
 #: Words before and after an anchor's start that settle its symbol; rounds of naming.
 BEFORE, AFTER, ROUNDS = 3, 5, 2
@@ -86,11 +90,12 @@ def order_keys(words: Words) -> np.ndarray:
     return keys
 
 
-def anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash): the chosen anchors and the hash of the words that settle them."""
+def anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, hash, mask): the chosen anchors, the hash of the words that settle them, and a bit for each window that chose them:
+    bit d for the window that starts BEFORE + d words before the anchor."""
     n = len(words.hash)
     if n < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
     keys = order_keys(words)
     size = BEFORE + AFTER
     width = window - size + 1  # an anchor may start at window start + BEFORE .. + BEFORE + width - 1
@@ -99,51 +104,68 @@ def anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
         step = min(span, width - span)
         least = np.minimum(least[: len(least) - step], least[step:])
         span += step
-    windows = np.zeros(n, bool)
-    windows[: n - window + 1] = words.doc[: n - window + 1] == words.doc[window - 1 :]
-    chosen = np.zeros(n, bool)
-    for d in range(BEFORE, BEFORE + width):
-        m = n - window + 1
-        hit = windows[:m] & (least[BEFORE : BEFORE + m] == keys[d : d + m])
-        chosen[d : d + m] |= hit
+    m = n - window + 1
+    windows = words.doc[:m] == words.doc[window - 1 :]
+    chosen = np.zeros(n, np.int32)
+    for d in range(width):
+        hit = windows & (least[BEFORE : BEFORE + m] == keys[BEFORE + d : BEFORE + d + m])
+        chosen[BEFORE + d : BEFORE + d + m] |= hit.astype(np.int32) << d
     at = np.flatnonzero(chosen)
     grams, _ = words.grams(size)
-    return at, grams[at - BEFORE]
+    return at, grams[at - BEFORE], chosen[at]
+
+
+def _packed_rows(batches):
+    pack = zstandard.ZstdCompressor(level=1)
+    for b in batches:
+        packed = pa.array([None if t is None else pack.compress(t) for t in text_bytes(b.column(2))], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed, *b.columns[3:]], b.schema.names)
+
+
+def _unpacked(column: pa.Array) -> pa.Array:
+    unpack = zstandard.ZstdDecompressor()
+    return pa.array([None if z is None else unpack.decompress(z) for z in column.to_pylist()], pa.binary())
+
+
+def _rows(row, h, at, ids, tags):
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[row]), pa.array(tags[row]), pa.array(at)], ["h", "id", "tag", "at"])
 
 
 def _anchor_rows(window: int):
+    """(hash, id, tag, at): at is the anchor's place and, in its low bits, the mask of the windows that chose it."""
+    width = window - BEFORE - AFTER + 1
+
     def run(batches):
         for b in batches:
-            ids, keys = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            texts = text_bytes(b.column(2))
-            for i, j in steps(b.column(2)):
-                w = Words(texts[i:j])
-                at, h = anchors(w, window)
+            ids, tags, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), _unpacked(b.column(2))
+            for i, j in steps(texts):
+                w = Words(texts.slice(i, j - i).to_pylist())
+                at, h, mask = anchors(w, window)
                 row = w.doc[at]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[i:j][row]), pa.array(keys[i:j][row]), pa.array((at - w.first[row]).astype(np.int32))], ["h", "id", "key", "at"])
+                yield _rows(row, h, (at - w.first[row]) << width | mask, ids[i:j], tags[i:j])
 
     return run
 
 
 def _window_rows(window: int):
-    """The windows around the shared anchors: (hash of all words, id, key, start)."""
-    lead = window - AFTER
+    """The windows that chose a shared anchor: (hash of all words, id, tag, start)."""
+    width = window - BEFORE - AFTER + 1
 
     def run(batches):
         for b in batches:
-            ids, keys = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            texts, shared = text_bytes(b.column(2)), b.column(3)
-            for i, j in steps(b.column(2)):
-                w = Words(texts[i:j])
+            ids, tags, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), _unpacked(b.column(2))
+            for i, j in steps(texts):
+                w = Words(texts.slice(i, j - i).to_pylist())
                 h, ok = w.grams(window)
-                found = shared.slice(i, j - i)
-                at = found.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(w.first, found.value_lengths().to_numpy(zero_copy_only=False))
-                diff = np.zeros(len(w.hash) + 1, np.int32)
-                np.add.at(diff, np.maximum(at - lead, 0), 1)
-                np.add.at(diff, at - BEFORE + 1, -1)
-                start = np.flatnonzero((np.cumsum(diff[:-1]) > 0) & ok)
+                found = b.column(3).slice(i, j - i)
+                held = found.flatten().to_numpy(zero_copy_only=False)
+                at = (held >> width) + np.repeat(w.first, found.value_lengths().to_numpy(zero_copy_only=False))
+                mine = np.zeros(len(w.hash), bool)
+                for d in range(width):
+                    mine[at[(held >> d & 1).astype(bool)] - BEFORE - d] = True
+                start = np.flatnonzero(mine & ok)
                 row = w.doc[start]
-                yield pa.RecordBatch.from_arrays([pa.array(h[start].view(np.int64)), pa.array(ids[i:j][row]), pa.array(keys[i:j][row]), pa.array((start - w.first[row]).astype(np.int32))], ["h", "id", "key", "at"])
+                yield _rows(row, h[start], start - w.first[row], ids[i:j], tags[i:j])
 
     return run
 
@@ -151,16 +173,16 @@ def _window_rows(window: int):
 def _kept_rows(window: int, names: list[str], digest: bool):
     def run(batches):
         for b in batches:
-            texts, starts = text_bytes(b.column(2)), b.column(3)
-            for i, j in steps(b.column(2)):
-                w = Words(texts[i:j], spans=True)
+            texts, starts = _unpacked(b.column(2)), b.column(3)
+            for i, j in steps(texts):
+                w = Words(texts.slice(i, j - i).to_pylist(), spans=True)
+                copy = np.array([bool(x) for x in b.column(b.num_columns - 1).slice(i, j - i).to_pylist()], bool) & (w.last - w.first >= window)
                 found = starts.slice(i, j - i)
-                at = found.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                at += np.repeat(w.first, pa.compute.fill_null(found.value_lengths(), 0).to_numpy(zero_copy_only=False))
+                at = found.flatten().to_numpy(zero_copy_only=False) + np.repeat(w.first, pa.compute.fill_null(found.value_lengths(), 0).to_numpy(zero_copy_only=False))
                 diff = np.zeros(len(w.hash) + 1, np.int32)
                 np.add.at(diff, at, 1)
                 np.add.at(diff, at + window, -1)
-                gone = np.cumsum(diff[:-1]) > 0
+                gone = (np.cumsum(diff[:-1]) > 0) | copy[w.doc]
                 total = np.concatenate(([0], np.cumsum(gone)))
                 removed = total[w.last] - total[w.first]
                 kept = []
@@ -168,40 +190,54 @@ def _kept_rows(window: int, names: list[str], digest: bool):
                     mine = np.flatnonzero(~gone[first:last]) + first
                     kept.append(b" ".join([w.raw[s:e] for s, e in zip(w.start[mine].tolist(), w.end[mine].tolist())]))
                 out = [pa.array([hashlib.sha256(t).hexdigest() for t in kept]) if digest else pa.array(kept, pa.binary()).cast(pa.string()), pa.array((w.last - w.first).astype(np.int64)), pa.array(removed.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([*out, *(b.column(k).slice(i, j - i) for k in range(4, b.num_columns))], names)
+                yield pa.RecordBatch.from_arrays([*out, *(b.column(k).slice(i, j - i) for k in range(4, b.num_columns - 1))], names)
 
     return run
 
 
 def _shared(rows: DataFrame, strictly_later: bool) -> DataFrame:
-    """Of rows (h, id, key, at): (id, key, at list) of those whose h occurs under two ids, or under a smaller id.
+    """Of rows (h, id, tag, at): (id, tag, at list) of those whose h occurs under two ids, or under a smaller id.
 
-    Both uses read one exchange by h (the columns are the same on purpose). The ids of a name are never gathered: only their
+    Both uses read one exchange by h: the columns and the filters of both are the same on purpose. The ids of a name are never gathered: only their
     least and greatest are kept.
     """
-    rows = rows.repartition(partitions(rows.sparkSession), "h")
-    found = rows.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.max(F.struct("key", "at")).alias("any"))
-    found = found.where("least < most and any is not null").select(F.col("h").alias("g"), "least")
+    rows = rows.where("h is not null and id is not null and tag is not null").repartition(partitions(rows.sparkSession), "h")
+    found = rows.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.max("tag").alias("tags"), F.max("at").alias("ats"))
+    found = found.where("least < most and tags >= 0 and ats >= 0").select(F.col("h").alias("g"), "least")
     hit = rows.join(found.hint("shuffle_hash"), F.col("h") == F.col("g"))
-    return hit.where("id > least" if strictly_later else "true").groupBy("id", "key").agg(F.collect_set("at").alias("at"))
+    return hit.where("id > least" if strictly_later else "true").groupBy("id", "tag").agg(F.collect_set("at").alias("at"))
+
+
+def _copies(texts: DataFrame) -> DataFrame:
+    """(id, tag) of texts that also stand under a smaller id: their last rounds end in one equal symbol, the text's own name."""
+    named = texts.where("length(text) > 0").select("id", "tag", F.unhex(F.md5("text")).alias("name"))
+    least = named.groupBy("name").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    return named.join(least, "name").where("id > least").select("id", "tag", F.lit(True).alias("copy")).distinct()
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, digest: bool = False) -> DataFrame:
     """df's columns with `kept` (the remaining words joined by one space; with digest their SHA-256), `n_words` and `n_removed`."""
     spark = df.sparkSession
+    bounded_batches(spark)
     n = partitions(spark)
-    identity = [F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")]
+    # rows of one id are told apart by 20 bits of their text's hash
+    identity = [F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.shiftrightunsigned(F.xxhash64(text_col), 44).cast("int").alias("tag"), F.col(text_col).alias("text")]
     rest = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(df.columns)] if not digest else [F.col(id_col).alias("c0")]
-    whole = df.select(*identity, *rest)
-    found = _shared(whole.select("id", "key", "text").mapInArrow(_anchor_rows(window), "h long, id long, key long, at int"), False)
-    moved = whole.repartition(n, "id", "key")
-    first = moved.join(found, ["id", "key"]).select("id", "key", "text", "at", *(f"c{k}" for k in range(len(rest))))
-    repeats = _shared(first.mapInArrow(_window_rows(window), "h long, id long, key long, at int"), True)
-    both = moved.join(repeats, ["id", "key"], "left").select("id", "key", "text", "at", *(f"c{k}" for k in range(len(rest))))
+    every = ["id", "tag", "text", "at", *(f"c{k}" for k in range(len(rest)))]
+    source = df.select(*identity, *rest)
+    # one exchange of the packed texts, by id, serves the three passes; the lists joined to it are built into hash tables, so texts are never sorted
+    packed = StructType([source.schema["id"], source.schema["tag"], StructField("text", BinaryType()), *source.schema.fields[3:]])
+    moved = source.mapInArrow(_packed_rows, packed).where("id is not null and tag is not null").repartition(n, "id", "tag")
+    whole = moved.join(_copies(source).hint("shuffle_hash"), ["id", "tag"], "left")
+    first = whole.where("copy is null").withColumn("at", F.lit(None).cast("array<bigint>")).select(*every)
+    found = _shared(first.mapInArrow(_anchor_rows(window), "h long, id long, tag int, at long"), False)
+    second = moved.join(found.hint("shuffle_hash"), ["id", "tag"]).select(*every)
+    repeats = _shared(second.mapInArrow(_window_rows(window), "h long, id long, tag int, at long"), True)
+    third = whole.join(repeats.hint("shuffle_hash"), ["id", "tag"], "left").select(*every, "copy")
     kept = [("kept", "string"), ("n_words", "bigint"), ("n_removed", "bigint")]
-    names = [*(c for c, _ in kept), *(f"c{k}" for k in range(len(rest)))]
-    schema = StructType([*spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in kept)).schema, *(both.schema[f"c{k}"] for k in range(len(rest)))])
-    out = both.mapInArrow(_kept_rows(window, names, digest), schema)
+    names = [*(c for c, _ in kept), *every[4:]]
+    schema = StructType([*spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in kept)).schema, *(third.schema[c] for c in every[4:])])
+    out = third.mapInArrow(_kept_rows(window, names, digest), schema)
     own = df.columns if not digest else [id_col]
     return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(own)), *(c for c, _ in kept))
 
@@ -214,11 +250,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op9_substring_dedup": op9}
 SQL = {
     "op9_substring_dedup": r"""
-WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents),
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 p AS (SELECT doc_id, i, array_to_string(ws[i : i + 12], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
 m AS (SELECT s, min(doc_id) AS least FROM p GROUP BY s),
 r AS (SELECT doc_id, list(DISTINCT i + d) AS gone FROM (SELECT p.doc_id, p.i FROM p JOIN m USING (s) WHERE p.doc_id > m.least), (SELECT unnest(range(0, 13)) AS d) GROUP BY doc_id),
 k AS (SELECT w.doc_id, len(ws) AS n_words, coalesce(len(gone), 0) AS n_removed,
- CASE WHEN gone IS NULL THEN ws ELSE list_filter(ws, (x, i) -> NOT list_contains(gone, i)) END AS kept FROM w LEFT JOIN r USING (doc_id))
+ CASE WHEN gone IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(gone, i)) END AS kept FROM w LEFT JOIN r USING (doc_id))
 SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k"""
 }

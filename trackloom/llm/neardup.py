@@ -7,9 +7,12 @@ Two classes meet in some table if they share a half key of either collection: fo
 a half key and 16 half keys a collection, all but 4 in a million do (1 - (1 - (1 - 0.75**2)**16)**2).
 
 Half keys that no other class shares are dropped first, which loses nothing, so most documents emit no table key at all.
+A class of which more than a quarter of the shingles is in no other class that met one cannot be near to any and is set aside, and what a
+pair can have in common is bounded by the lesser count of such shared shingles; both are exact.
+
 In each table key's bucket every class is confirmed against the bucket's least class by full sets; links make components. Where a
-bucket then still holds several components, the remaining pairs across them are confirmed too, unless their sizes or
-their min-hashes rule the similarity out (fewer than 27 of 64 equal has a chance of 1e-8 at 0.75). Pairs inside a
+bucket then still holds several components, the remaining pairs across them are confirmed too, unless their sizes, bitmaps of their sets
+(both exact bounds) or their min-hashes rule the similarity out (fewer than 27 of 64 equal has a chance of 1e-8 at 0.75). Pairs inside a
 component are never made. Joins and counts are by key with partial sums, so a hot key can be split by Spark; nothing is capped.
 
 Documents without words have no set and link with nothing; so do rows with a null id, whose component is null. Rows of one id count as one
@@ -29,6 +32,8 @@ SHINGLE, HALVES, ROWS = 5, 16, 2
 SIGNATURE = 2 * HALVES * ROWS
 #: Of SIGNATURE min-hashes, so many must agree before two sets are compared; see above.
 LEAST_EQUAL = 27
+#: Longs of the bitmap of a set.
+LONGS = 64
 _SEEDS = mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64))
 _XOR, _MULTIPLY = (_SEEDS >> U64(32)).astype(np.uint32), (_SEEDS & U64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
 
@@ -43,10 +48,10 @@ def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
         if n >= SHINGLE:
             out.append(np.unique(h[first : last - SHINGLE + 1]))
         elif n:
-            short = U64(n)
-            for x in w.hash[first:last]:
-                short = mix(np.array([short * U64(0xA0761D6478BD642F) + x]))[0]
-            out.append(np.array([short], np.uint64))
+            short = np.array([n], np.uint64)
+            for k in range(first, last):
+                short = mix(short * U64(0xA0761D6478BD642F) + w.hash[k : k + 1])
+            out.append(short)
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -105,8 +110,10 @@ def _linked_rows(percent: int):
     return run
 
 
-def _near_size(a: Column, b: Column, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _possible(a: str, b: str, percent: int) -> Column:
+    """Whether the sizes and shared counts of two classes allow the similarity."""
+    n, m = (F.col(a + "n"), F.col(b + "n")), F.least(a + "s", b + "s")
+    return (F.least(*n) * 100 >= F.greatest(*n) * percent) & (m * 100 >= (n[0] + n[1] - m) * percent)
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -151,32 +158,84 @@ def table_keys(classes: DataFrame) -> DataFrame:
     return keys.select(F.xxhash64(F.col("keys")[F.col("i")], F.col("keys")[F.col("j")]).alias("table"), "kind", "id", "n")
 
 
+def _unshared_rows(batches):
+    for b in batches:
+        for i, j in steps(b.column(1)):
+            sets = shingle_sets(text_bytes(b.column(1).slice(i, j - i)))
+            kinds = np.repeat(b.column(0).slice(i, j - i).to_numpy(zero_copy_only=False), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(kinds)], ["h", "kind"])
+
+
+def shared_counts(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """(kind, s): how many shingles of each class another class of `texts` has too; what any two sets have in common is no more than the lesser s."""
+    alone = texts.mapInArrow(_unshared_rows, "h long, kind long").groupBy("h").agg(F.count("*").alias("c"), F.min("kind").alias("kind")).where("c = 1")
+    alone = alone.groupBy("kind").agg(F.count("*").alias("alone"))
+    return texts.select("kind").join(classes.select("kind", "n"), "kind").join(alone, "kind", "left").select("kind", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("s"))
+
+
+def _bitmap_rows(batches):
+    for b in batches:
+        for i, j in steps(b.column(1)):
+            sets = shingle_sets(text_bytes(b.column(1).slice(i, j - i)))
+            bits = np.zeros((len(sets), 64 * LONGS), np.uint8)
+            for k, x in enumerate(sets):
+                bits[k, (x % U64(64 * LONGS)).astype(np.int64)] = 1
+            packed = np.packbits(bits, axis=1).view(np.int64)
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(packed.ravel()), LONGS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), flat, pa.array(bits.sum(1, dtype=np.int64))], ["kind", "bits", "ones"])
+
+
+def _overlap_possible(a: str, b: str, percent: int) -> Column:
+    """Whether bitmaps of the sets allow the similarity: what is common has common bits, but for the shingles that share a bit in one set."""
+    common = sum((F.bit_count(F.col(a + "bits")[k].bitwiseAND(F.col(b + "bits")[k])) for k in range(1, LONGS)), F.bit_count(F.col(a + "bits")[0].bitwiseAND(F.col(b + "bits")[0])))
+    most = common + F.least(F.col(a + "n") - F.col(a + "ones"), F.col(b + "n") - F.col(b + "ones"))
+    return most * 100 >= (F.col(a + "n") + F.col(b + "n") - most) * percent
+
+
+def _first_common(a: str, b: str, low: int, high: int) -> Column:
+    """The first place in low .. high - 1 where two arrays of half keys agree (from 0)."""
+    part = F.zip_with(F.slice(a, low + 1, high - low), F.slice(b, low + 1, high - low), lambda x, y: x == y)
+    return F.array_position(part, F.lit(True)) - 1 + low
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of df."""
     bounded_batches(df.sparkSession)
     rows = cut(features(df, id_col, text_col))
     classes = cut(rows.where("n > 0 and id is not null").groupBy("kind").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature")))
     keys = cut(table_keys(classes))
-    buckets = keys.groupBy("table").agg(F.min(F.struct("id", "kind", "n")).alias("least"), F.max(F.struct("id", "kind", "n")).alias("most")).where("least < most")
-    in_bucket = cut(keys.join(buckets.select("table", "least"), "table"))
-    met = in_bucket.select("kind").distinct()
+    several = keys.groupBy("table").agg(F.min("kind").alias("p"), F.max("kind").alias("q")).where("p < q").select("table")
+    met = keys.join(several, "table").select("kind").distinct()
     # a class's text is that of a row with its least id
     ids = classes.join(met, "kind").select(F.col("id").alias("i"), "kind")
     texts = df.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("text")).where("i is not null and text is not null").join(ids, "i")
     texts = cut(texts.groupBy("kind").agg(F.max("text").alias("text")))
-    star = in_bucket.where(F.col("kind") != F.col("least.kind")).where(_near_size(F.col("n"), F.col("least.n"), percent))
+    # a class with too many shingles of its own is near to no other
+    able = shared_counts(texts, classes).join(classes.select("kind", "n"), "kind").where(F.col("s") * 100 >= F.col("n") * percent).select("kind", "s")
+    keys = keys.join(cut(able), "kind")
+    member = F.struct("id", "kind", "n", "s")
+    buckets = keys.groupBy("table").agg(F.min(member).alias("least"), F.max(member).alias("most")).where("least < most")
+    in_bucket = cut(keys.join(buckets.select("table", "least"), "table"))
+    star = in_bucket.where(F.col("kind") != F.col("least.kind")).where(_possible("", "least.", percent))
     star = star.select(F.col("kind").alias("x"), F.col("least.kind").alias("y"), F.col("id").alias("x_id"), F.col("least.id").alias("y_id")).distinct()
     links = cut(confirm(star, texts, percent))
     found = components(links)
-    # buckets that hold several components: the pairs across them, but for those with the bucket's least class
-    mine = in_bucket.join(found, in_bucket.id == found.v, "left").select("table", "kind", "id", "n", in_bucket["least.kind"].alias("centre"), F.coalesce(found["least"], in_bucket["id"]).alias("part"))
+    # classes in buckets that hold several components meet again, in the first half key that a pair shares, if it also shares one of the second collection
+    mine = in_bucket.join(found.withColumnRenamed("least", "part"), in_bucket.id == found.v, "left")
+    mine = mine.select("table", "kind", "id", "n", "s", F.col("least.kind").alias("centre"), F.coalesce("part", "id").alias("part"))
     mixed = mine.groupBy("table").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("table")
-    rest = mine.join(mixed, "table").where("kind <> centre").join(classes.select("kind", "signature"), "kind")
-    a, b = rest.alias("a"), rest.alias("b")
+    rest = cut(mine.join(mixed, "table").where("kind <> centre").select("kind", "id", "n", "s", "part").distinct())
+    bitmaps = texts.join(rest.select("kind"), "kind").mapInArrow(_bitmap_rows, "kind long, bits array<long>, ones long")
+    rest = cut(rest.join(classes.select("kind", "signature"), "kind").withColumn("halves", _half_keys()).join(bitmaps, "kind"))
+    halves = rest.select("*", F.posexplode(F.slice("halves", 1, HALVES)).alias("i", "h"))
+    a, b = halves.alias("a"), halves.alias("b")
     equal = F.aggregate(F.zip_with("a.signature", "b.signature", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    across = a.join(b, (F.col("a.table") == F.col("b.table")) & (F.col("a.kind") < F.col("b.kind")) & (F.col("a.part") != F.col("b.part")) & _near_size(F.col("a.n"), F.col("b.n"), percent) & (equal >= LEAST_EQUAL))
+    once = _first_common("a.halves", "b.halves", 0, HALVES) == F.col("a.i")
+    second = F.arrays_overlap(F.slice("a.halves", HALVES + 1, HALVES), F.slice("b.halves", HALVES + 1, HALVES))
+    apart = (F.col("a.h") == F.col("b.h")) & (F.col("a.kind") < F.col("b.kind")) & (F.col("a.part") != F.col("b.part"))
+    across = a.join(b, apart & _possible("a.", "b.", percent) & _overlap_possible("a.", "b.", percent) & once & second & (equal >= LEAST_EQUAL))
     across = across.select(F.col("a.kind").alias("x"), F.col("b.kind").alias("y"), F.col("a.id").alias("x_id"), F.col("b.id").alias("y_id")).distinct()
-    more = cut(confirm(cut(across), texts, percent))
+    more = cut(confirm(across, texts, percent))
     if not more.isEmpty():
         found = components(links.union(more))
     named = classes.select("kind", F.col("id").alias("v")).join(found, "v", "left").select("kind", F.coalesce("least", "v").alias("component"))
@@ -198,7 +257,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op5_minhash_near_dedup": op5}
 SQL = {
     "op5_minhash_near_dedup": r"""
-WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [1] ELSE range(1, len(ws) - 3) END) AS i FROM w)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),

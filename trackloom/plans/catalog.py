@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from trackloom.plans import analysis_queries, codec_queries, general_queries, io_queries, view_queries  # noqa: F401  (they register their queries)
+from trackloom.plans.registry import QUERIES, SQL
 
 
-def queries():
-    return {}
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codec_queries.plane_entropy(spark, sf_dir)
 
 
-def oracle_sql():
-    return {}
+def queries() -> dict:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)

@@ -224,13 +224,13 @@ def verify_max_error(spark, sf_dir):
 
 
 @query(f"""WITH {LI}, {_RANGES}, b AS (SELECT entity, {_static('c0', 23)} AS st, CASE WHEN {_static('c0', 23)} THEN (lo_c0 + hi_c0) >> 1 ELSE v0_c0 END AS base FROM r)
-SELECT li.entity, li.frame, least(greatest(CASE WHEN st THEN base ELSE floor((c0 + 23) / 47.0)::BIGINT * 47 END, 0), 255)::BIGINT AS shown FROM li JOIN b USING (entity) WHERE frame <= 5""")
+SELECT li.entity, li.frame, least(greatest(CASE WHEN st THEN base ELSE floor((c0 + 23) / 47.0)::BIGINT * 47 END, 0), 255)::BIGINT AS shown FROM li JOIN b USING (entity)""")
 def static_overlay(spark, sf_dir):
-    """Static bases overlaid by the dynamic entities' bins: the first six frames as a decoder shows them."""
+    """Static bases overlaid by the dynamic entities' bins, as a decoder shows them; each entity in the frames that it has."""
     li = li_track(spark, sf_dir)
     s = classify.static_int(ranges(spark, sf_dir), ["c0"], 23)
     dynamic = hold.stateless(li.join(s.where("not static").select("entity"), "entity", "left_semi"), ["c0"], 47, True)
-    frames = li.select("frame").where("frame <= 5").distinct()
+    frames = li.select("frame").distinct()
     there = li.select("entity", "frame")
     shown = decode.overlay(s.select("entity", "base_c0"), dynamic, frames, ["c0"], 1, 47).join(there, ["entity", "frame"], "left_semi")
     return shown.select("entity", "frame", decode.dequantize("rgb", F.col("value_c0"), 1).cast("bigint").alias("shown"))

@@ -168,8 +168,10 @@ class ContainerSource(DataSource):
 
 
 def register(spark) -> None:
+    from trackloom.session import ship
     from trackloom.sources.splat import SplatSource
 
+    ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SplatSource)
     spark.dataSource.register(ContainerSource)

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from trackloom.session import ship
+
 
 def work_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which the cluster shares; only where that is unset (one machine) a temporary one."""
@@ -23,6 +25,7 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def stream(spark: SparkSession, sf_dir: str, table: str = "events", files: int = 1) -> DataFrame:
+    ship(spark)
     path = f"{sf_dir}/{table}.parquet"
     schema = spark.read.parquet(path).schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern, which may match a file or a folder

@@ -16,6 +16,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackloom.session import ship
+
 U64 = np.uint64
 #: Text bytes that one vectorised step handles; a longer text makes a step of its own.
 STEP_BYTES = 1 << 20
@@ -57,7 +59,8 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of some MB, as texts can be long."""
+    """Arrow batches of some MB, as texts can be long; and the package at the executors."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 

@@ -21,7 +21,7 @@ from trackloom.llm.shared import U64, Words, bounded_batches, cut, documents, st
 
 BUCKETS = 1 << 18
 #: Labelled documents that are fitted at most; weights of words in fewer of them stay 0.
-SAMPLE, LEAST_DOCUMENTS = 12_000, 3
+SAMPLE, LEAST_DOCUMENTS = 20_000, 3
 #: Least likelihood ratio of a word that is fitted: the 0.999 quantile of chi-squared with one degree of freedom.
 TELLING = 10.83
 _OTHER = np.ones(256, bool)
@@ -63,7 +63,7 @@ class Model:
         self.weights, self.thresholds = weights.astype(np.float32), thresholds
 
     @classmethod
-    def fit(cls, grades: np.ndarray, doc: np.ndarray, bucket: np.ndarray, steps: int = 200, rate: float = 0.1, penalty: float = 1e-4) -> Model:
+    def fit(cls, grades: np.ndarray, doc: np.ndarray, bucket: np.ndarray, steps: int = 300, rate: float = 0.1, penalty: float = 0.3) -> Model:
         k = int(grades.max(initial=0))
         if k == 0 or (grades == grades[0]).all():
             return cls(np.zeros(BUCKETS), np.zeros(0))
@@ -82,7 +82,7 @@ class Model:
             slope = np.hstack([np.zeros((n, 1)), p * (1 - p), np.zeros((n, 1))])
             lower, upper = slope[row, grades] / mass / n, slope[row, grades + 1] / mass / n
             by_cut = [(lower * (grades == c + 1) - upper * (grades == c)).sum() for c in range(k)]
-            g = np.concatenate([np.bincount(column, (upper - lower)[doc], width) + penalty * w, by_cut])
+            g = np.concatenate([np.bincount(column, (upper - lower)[doc], width) + penalty / n * w, by_cut])
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8) * (1 - t / (steps + 1))
             w = w - step[:width]

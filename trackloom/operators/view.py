@@ -109,11 +109,16 @@ def project(points: DataFrame, view: np.ndarray, proj: np.ndarray, focal=(1000.0
     clip = cam.select("*", *(multiply_row(proj, k, c).alias(f"clip{k}") for k in range(4)))
     # rows of J * W, where J is the perspective's derivative at the point and W the view's rotation
     j = [[focal[0] / c[2], F.lit(0.0), -focal[0] * c[0] / (c[2] * c[2])], [F.lit(0.0), -focal[1] / c[2], focal[1] * c[1] / (c[2] * c[2])]]
-    g = [[sum((j[r][k] * float(view[k, n]) for k in range(1, 3)), j[r][0] * float(view[0, n])) for n in range(3)] for r in range(2)]
+    rows = [[sum((j[r][k] * float(view[k, n]) for k in range(1, 3)), j[r][0] * float(view[0, n])) for n in range(3)] for r in range(2)]
+    clip = clip.select("*", *(rows[r][n].alias(f"g{r}{n}") for r in range(2) for n in range(3)))  # columns, so that what follows stays small
+    g = [[F.col(f"g{r}{n}") for n in range(3)] for r in range(2)]
     sym = [["t0", "t1", "t2"], ["t1", "t3", "t4"], ["t2", "t4", "t5"]]
 
+    half = [[sum((g[r][m] * F.col(sym[m][n]) for m in (1, 2)), g[r][0] * F.col(sym[0][n])).alias(f"h{r}{n}") for n in range(3)] for r in range(2)]
+    clip = clip.select("*", *half[0], *half[1])
+
     def form(a, b):
-        return sum((g[a][m] * F.col(sym[m][n]) * g[b][n] for m in range(3) for n in range(3) if (m, n) != (0, 0)), g[a][0] * F.col("t0") * g[b][0])
+        return sum((F.col(f"h{a}{n}") * g[b][n] for n in (1, 2)), F.col(f"h{a}0") * g[b][0])
 
     out = clip.select("*", form(0, 0).alias("c00"), form(0, 1).alias("c01"), form(1, 1).alias("c11"))
     low, major, minor = axes(F.col("c00"), F.col("c01"), F.col("c11"))

@@ -97,8 +97,8 @@ def frustum_cull(spark, sf_dir):
 
 @query()
 def screen_ellipses(spark, sf_dir):
-    """The drawn points' axes on the screen."""
-    return _projected(spark, sf_dir).where("drawn").select("splat_id", F.round("major", 3).alias("major"), F.round("minor", 3).alias("minor"))
+    """Which points are drawn, and their axes on the screen. (A filter on `drawn` would be pushed below the projections and repeat them.)"""
+    return _projected(spark, sf_dir).select("splat_id", "drawn", F.round("major", 3).alias("major"), F.round("minor", 3).alias("minor"))
 
 
 @query(f"WITH {_CLIP} SELECT splat_id FROM cl WHERE {_IN} AND clip0 / clip3 - 0.1 >= 0")

@@ -204,3 +204,19 @@ def test_views(spark):
     df = spark.createDataFrame([(0, 0.0, 0.0, 1.0, 1), (1, 0.0, 0.0, 1.0, 0), (2, 0.0, 0.0, -5.0, 0), (3, 0.0, 0.0, 2.0, 1)], "id long, x double, y double, z double, alpha int")
     got = {r.id: (r.bucket, r.place) for r in view.depth_order(df, (0.0, 0.0, 1.0)).collect()}
     assert [i for i, _ in sorted(got.items(), key=lambda x: x[1][1])] == [0, 1, 2, 3]
+
+
+def test_cached_encode_and_keys(encoded, tmp_path):
+    _, _, df, _ = encoded
+    few = df.where("frame < 3")
+    a = codec.encode_cached(few, str(tmp_path), "clip", gop=1, pos_mm=5.0)
+    assert os.path.basename(a) == "clip_gop5_pos_mm5-0"
+    before = os.stat(a).st_mtime_ns
+    assert codec.encode_cached(few, str(tmp_path), "clip", gop=5, pos_mm=5.0) == a and os.stat(a).st_mtime_ns == before
+    assert json.loads(codec.report_json({"ratio": 2.0})) == {"ratio": 2.0}
+
+
+def test_view_changes():
+    from trackloom.operators.view import same_view
+
+    assert same_view((0, 0, 1), (0, 0.05, 0.999), 3, 3) and not same_view((0, 0, 1), (0, 0, 1), 3, 4) and not same_view((0, 0, 1), (0, 1, 0), 3, 3)

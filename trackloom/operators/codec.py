@@ -160,6 +160,28 @@ def encode(splats: DataFrame, path: str, bounds: Bounds | None = None, gop: int
         meta.unpersist()
 
 
+def cache_key(name: str, **request) -> str:
+    """A file name for a request; parameters are first moved into their limits."""
+    from trackloom.config import clamp_request
+
+    return "_".join([name, *(f"{k}{str(v).replace('.', '-')}" for k, v in sorted(clamp_request(**request).items()))])
+
+
+def encode_cached(splats: DataFrame, folder: str, name: str, fps: float = 30.0, **request) -> str:
+    """Encodes for a request (pos_mm, color_levels, rot_steps, scale_pct, gop, zstd_level), unless its file is already there; returns the path."""
+    import os
+
+    from trackloom.config import clamp_request
+
+    path = os.path.join(folder, cache_key(name, **request))
+    if not os.path.exists(path):
+        r = {"pos_mm": 2.0, "color_levels": 4, "rot_steps": 0, "scale_pct": 2.0, "gop": 30, "zstd_level": 3} | clamp_request(**request)
+        bounds = Bounds(r["pos_mm"] / 1000, r["scale_pct"] / 100, r["color_levels"], r["color_levels"], r["rot_steps"])
+        encode(splats, path + ".part", bounds, r["gop"], r["zstd_level"], fps)
+        os.replace(path + ".part", path)
+    return path
+
+
 def report_json(report: dict) -> str:
     return json.dumps(report, indent=1)
 

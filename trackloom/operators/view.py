@@ -23,6 +23,11 @@ def depth_order(points: DataFrame, row, skip_invisible: bool = True) -> DataFram
     return ordinals(placed, "bucket", "id", "place")
 
 
+def same_view(a, b, frame_a: int, frame_b: int) -> bool:
+    """Whether a new order can be skipped: the same frame, and view rows whose product is within 0.01 of 1."""
+    return frame_a == frame_b and abs(float(np.dot(a, b)) - 1) < 0.01
+
+
 def bucket_starts(order: DataFrame) -> DataFrame:
     """(bucket, n, start): counts and their exclusive sums, a row a used bucket."""
     n = order.groupBy("bucket").agg(F.count("*").alias("n"))

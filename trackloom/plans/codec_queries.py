@@ -382,6 +382,29 @@ def buffered_ranges(spark, sf_dir):
     return r.withColumn("run", run).groupBy("run").agg(F.min("gop").alias("first"), F.max("gop").alias("last"), F.count("*").alias("n")).drop("run")
 
 
+@query(f"WITH {_KEYED}, f AS (SELECT min((2 * ord) >> 11) AS row FROM o WHERE mask <> 0) SELECT entity, ord, ((2 * ord) >> 11)::BIGINT AS row FROM o, f WHERE ((2 * ord) >> 11) >= f.row")
+def upload_band(spark, sf_dir):
+    """Entities in texture rows at or after that of the first dynamic one."""
+    o = ordered(spark, sf_dir).select("entity", "ord", "mask", scalar.texel_row(F.col("ord")).cast("bigint").alias("row"))
+    first = o.where("mask <> 0").agg(F.min("row").alias("first"))
+    return o.join(F.broadcast(first), F.col("row") >= F.col("first")).select("entity", "ord", "row")  # first: one row
+
+
+@query(f"WITH {_KEYED} SELECT o.ord, li.frame, li.c0, li.c1, li.c2 FROM o JOIN li USING (entity)")
+def file_order_gather(spark, sf_dir):
+    """Original frames in the order of the file: an equi-join with the permutation."""
+    o = ordered(spark, sf_dir).select("entity", "ord")
+    return li_track(spark, sf_dir).join(o, "entity").select("ord", "frame", *CH)
+
+
+@query(f"WITH {SYMBOLS} SELECT gop, attr, kind, count(*) AS elems FROM sy GROUP BY ALL")
+def required_streams(spark, sf_dir):
+    """Streams looked up by group, attribute and kind; a missing one would stop the job."""
+    s = long(spark, sf_dir)
+    wanted = s.select("gop", "attr", "kind").distinct()
+    return decode.require_complete(wanted, symbols.widths(s).select("gop", "attr", "kind", "elems"), ["gop", "attr", "kind"])
+
+
 @query(f"WITH {_KEYED} SELECT entity, st_c0 AS pos, st_c1 AS rot, mask::BIGINT AS mask FROM o WHERE NOT (st_c0 AND st_c1)")
 def recompute_set(spark, sf_dir):
     """Entities with a dynamic rotation or scale: the union of two index sets."""

@@ -73,6 +73,33 @@ def grouping_sets(spark, sf_dir):
     return li.groupingSets([[F.col("l_returnflag"), F.col("l_linestatus")], [F.col("l_returnflag")], []], "l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("qty"))
 
 
+@query("SELECT n_name, count(*) AS suppliers FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name")
+def join_strategies(spark, sf_dir):
+    """The same join by broadcast, sort-merge and shuffled hash; the results are one."""
+    s, n = t(spark, sf_dir, "supplier", "nation")
+    ways = [s.join(n.hint(h), s.s_nationkey == n.n_nationkey).groupBy("n_name").agg(F.count("*").alias("suppliers")) for h in ("broadcast", "merge", "shuffle_hash")]
+    return ways[0].intersect(ways[1]).intersect(ways[2])
+
+
+@query("SELECT l_returnflag, count(*) FILTER (l_linestatus = 'O') AS \"O\", count(*) FILTER (l_linestatus = 'F') AS \"F\" FROM lineitem GROUP BY l_returnflag")
+def pivot(spark, sf_dir):
+    (li,) = t(spark, sf_dir, "lineitem")
+    return li.groupBy("l_returnflag").pivot("l_linestatus", ["O", "F"]).count().na.fill(0)
+
+
+@query()
+def approx_distinct(spark, sf_dir):
+    (e,) = t(spark, sf_dir, "events")
+    return e.groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("users"))
+
+
+@query("SELECT p_partkey, 'k' || (p_size % 3) AS k, p_size * 2 AS twice FROM part")
+def map_values(spark, sf_dir):
+    (p,) = t(spark, sf_dir, "part")
+    m = F.map_from_arrays(F.array(F.concat(F.lit("k"), (F.col("p_size") % 3).cast("string"))), F.array(F.col("p_size") * 2))
+    return p.select("p_partkey", F.explode(m).alias("k", "twice"))
+
+
 @query("SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
 def count_distinct(spark, sf_dir):
     (e,) = t(spark, sf_dir, "events")

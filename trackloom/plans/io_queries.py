@@ -155,6 +155,23 @@ def stream_gop_hold(spark, sf_dir):
     return stream.settle(stream.rolling_bins(stream.stream(spark, sf_dir), 4.0, GOP))
 
 
+@query(f"WITH {SYMBOLS} SELECT entity, frame, b AS bin, true AS exact FROM held")
+def stream_rollforward(spark, sf_dir):
+    """Symbols stored as files and decoded as a stream with the current bin as state."""
+    from trackloom.plans.codec_queries import syms
+
+    out = stream.work_dir(spark)
+    s = syms(spark, sf_dir).select("entity", "frame", F.col("sym_b").alias("sym"))
+    s.coalesce(1).write.parquet(f"{out}/symbols")
+    read = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/symbols")
+    return stream.settle(stream.rolling_decode(read, GOP))
+
+
+@query("SELECT epoch(s)::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT event_type, value, unnest([time_bucket(INTERVAL 12 hour, ts), time_bucket(INTERVAL 12 hour, ts) - INTERVAL 12 hour]) AS s FROM events) GROUP BY ALL")
+def stream_sliding(spark, sf_dir):
+    return stream.settle(stream.tumbling(stream.stream(spark, sf_dir), "1 day", slide="12 hours"), "complete")
+
+
 @query(f"WITH {SYMBOLS} SELECT entity, frame, b FROM held")
 def stream_then_decode(spark, sf_dir):
     """What the stream wrote, decoded by prefix sums."""

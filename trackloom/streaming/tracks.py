@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +67,29 @@ def distinct_within(events: DataFrame, keys: list[str], late: str) -> DataFrame:
     return timed(events, late).dropDuplicatesWithinWatermark(keys)
 
 
+def rolling_decode(symbols: DataFrame, gop: int) -> DataFrame:
+    """(entity, frame, bin, exact): bins rolled forward from (entity, frame, sym) as they arrive; the state is the current frame and bin.
+
+    The next frame of a group continues from the state; a group's first frame starts anew. A frame that arrives out of turn cannot be exact: the last known bin
+    is given with exact = false, and the track waits for its next key.
+    """
+    from trackloom.functions.arrow import unzz
+
+    def run(key, batches, state):
+        last, now = state.get if state.exists else (-2, 0)
+        rows = []
+        for frame, d in pd.concat(list(batches)).sort_values("frame")[["frame", "sym"]].itertuples(index=False):
+            delta = int(unzz(np.array([d]))[0])
+            exact = frame % gop == 0 or frame == last + 1
+            now = delta if frame % gop == 0 else now + delta if exact else now
+            last = frame if exact else -2
+            rows.append((key[0], frame, now, exact))
+        state.update((int(last), int(now)))
+        yield pd.DataFrame(rows, columns=["entity", "frame", "bin", "exact"])
+
+    return symbols.select("entity", "frame", "sym").groupBy("entity").applyInPandasWithState(run, "entity long, frame long, bin long, exact boolean", "last long, now long", "append", GroupStateTimeout.NoTimeout)
+
+
 def rolling_bins(events: DataFrame, step: float, gop: int) -> DataFrame:
     """(entity, frame, gop, kind, bin, delta) of each user's values, with the last frame and bin as state: keys and deltas as the rows arrive.
 

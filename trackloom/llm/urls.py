@@ -3,7 +3,7 @@
 Host: after the first "://" up to "/", "?", "#" or the end, A-Z lower-cased; path: from there up to "?", "#" or the end. A rule holds for its host and all
 its subdomains where the path starts with the rule's; the longest fitting rule decides. Elsewhere a linear model decides: n-grams of the host and of
 the path are hashed to buckets, each bucket has an integer weight (millionths), and a URL is blocked if its mean weight and the bias come out above 0. The model is
-trained at import by plain gradient descent on the small labelled table below, so the weights are part of the plan as a constant.
+trained at import by gradient descent on the small labelled table below, so the weights are part of the plan as a constant.
 
 A null URL, or one without "://", has an empty host and path and no rule; its score is the bias. Repeated rows get equal verdicts. Other columns play no part.
 """
@@ -22,23 +22,18 @@ from trackloom.llm.shared import documents
 #: (verdict, host, path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
-#: The labelled table: hosts and paths of made-up sites.
+#: The labelled table: made-up site names, each in every frame, so that only the names tell the classes apart.
 ALLOW = (
-    "www.city-library.org/catalogue/books", "news.daily-herald.org/politics/2021", "blog.gardening.org/roses/pruning", "docs.software.net/manual/install", "www.university.edu/physics/courses",
-    "recipes.kitchen.org/bread/sourdough", "museum.arts.org/exhibits/bronze", "weather.service.net/forecast/north", "wiki.history.org/wiki/rome", "m.travel-guide.net/italy/venice",
-    "www.health-council.org/advice/vaccines", "forum.cycling.net/repairs/brakes", "shop.bookstore.org/novels/classic", "www.school.org/timetable", "science.journal.org/articles/biology",
-    "archive.letters.net/1890/march", "blog.mathematics.net/proofs/primes", "www.orchestra.org/concerts/spring", "maps.transit.org/lines/blue", "www.parliament.org/debates/2020",
-    "then.thing.org/en/12", "blog.tion.net/de/345", "www.other.org/fr/67.html", "m.thread.org/es/89", "heron.org/en/640.html", "blog.brother.net/en/1203", "www.mother.net/de/77", "m.there.org/de/518",
+    "library", "daily-herald", "gardening", "city-museum", "kitchen", "weather", "history", "travel-guide", "health-council", "cycling", "bookstore", "school", "science", "archive", "orchestra", "transit",
+    "parliament", "mathematics", "heron", "thread", "brother", "mother", "there", "weathering", "ththere", "thinging", "thertion", "tionthe", "thousand", "thatch-houses", "southstation", "thoughts", "whatthat", "northstar",
 )
 BLOCK = (
-    "www.casino-royal-win.org/slots/bonus", "free-casino.net/win/jackpot", "best-bets.org/odds/free", "online-betting.net/free-bets", "poker-win.org/bonus/cash",
-    "cheap-pills.net/viagra/order", "www.discount-pills.org/buy/cheap", "pharma-cheap.net/meds/no-prescription", "adult-videos.org/xxx/free", "www.xxx-cams.net/adult/live",
-    "adult-x-dating.org/girls", "spam-links.net/buy-links", "www.link-farm.org/seo/spam", "content-farm.net/spam/article", "ads-click.org/track/redirect",
-    "m.ads-tracker.net/pixel/click", "pop-ads.org/track/banner", "free-download-crack.net/keygen/serial", "warez-crack.org/torrent/free", "win-free-phone.net/prize/claim",
-    "cheap-loans-fast.org/payday/cash", "get-rich-fast.net/money/win", "replica-watches-cheap.org/buy/rolex", "hot-adult-chat.net/free/xxx", "casino-win-bets.net/en/41", "spam-farm-ads.org/en/7",
+    "casino-win", "royal-casino", "free-bets", "best-bets", "poker-bonus", "cheap-pills", "discount-pills", "pharma-cheap", "adult-x", "adult-videos", "xxx-cams", "spam-farm", "link-farm", "spam-links", "ads-track", "ads-click",
+    "pop-ads", "free-download-crack", "warez-crack", "win-free-phone", "payday-loans", "get-rich-fast", "replica-watches", "hot-adult-chat", "slots-jackpot", "viagra-order", "seo-spam", "free-xxx", "bonus-slots", "cheap-viagra", "adult-cams", "track-click", "spam-ads", "win-prize",
 )
+FRAMES = ("www.{}.example.com/en/12", "{}.example.net/de/345.html", "blog.{}.example.org/fr/67/", "m.{}.example.net/es/890", "{}.example.com/fr/4071", "www.{}.example.org/de/5526.html", "m.{}.org/about", "blog.{}.net/en/news")
 
-SIZES, BUCKETS, STEPS, RATE, DECAY = (3, 4), 4096, 400, 8.0, 1e-3
+SIZES, BUCKETS, STEPS, RATE, DECAY = (3, 4), 4096, 120, 40.0, 1e-5
 UNIT = 1_000_000
 
 
@@ -54,20 +49,32 @@ def features(host: str, path: str) -> list[int]:
     return [_bucket(g) for g in _grams("h", host) + _grams("p", path)]
 
 
+def labelled() -> list[tuple[str, int]]:
+    """(host and path, 1 where to block)."""
+    return [(frame.format(name), y) for y, names in ((0, ALLOW), (1, BLOCK)) for name in names for frame in FRAMES]
+
+
 def train() -> tuple[list[int], int]:
-    """(weights, bias) in millionths."""
-    table = [(features(*_parts(u)), y) for y, urls in ((0, ALLOW), (1, BLOCK)) for u in urls]
-    w, bias = [0.0] * BUCKETS, 0.0
+    """(weights, bias) in millionths; gradient descent with momentum."""
+    table = []
+    for url, y in labelled():
+        found = features(*_parts(url))
+        table.append((sorted({k: found.count(k) / len(found) for k in found}.items()), y))
+    w, bias, speed, bias_speed = [0.0] * BUCKETS, 0.0, [0.0] * BUCKETS, 0.0
+    used = sorted({k for found, _ in table for k, _ in found})
     for _ in range(STEPS):
-        step, b = [DECAY * x for x in w], 0.0
+        step, b = {k: DECAY * w[k] for k in used}, 0.0
         for found, y in table:
-            z = bias + sum(w[k] for k in found) / len(found)
+            z = bias + sum(w[k] * x for k, x in found)
             g = (1 / (1 + math.exp(-z)) - y) / len(table)
             b += g
-            for k in found:
-                step[k] += g / len(found)
-        w = [x - RATE * 25 * d for x, d in zip(w, step)]
-        bias -= RATE / 25 * b
+            for k, x in found:
+                step[k] += g * x
+        for k in used:
+            speed[k] = 0.9 * speed[k] - RATE * step[k]
+            w[k] += speed[k]
+        bias_speed = 0.9 * bias_speed - RATE / 100 * b
+        bias += bias_speed
     return [round(x * UNIT) for x in w], round(bias * UNIT)
 
 
@@ -79,9 +86,12 @@ def _parts(url: str) -> tuple[str, str]:
 WEIGHTS, BIAS = train()
 
 
-def _hashed(part: str, text: Column) -> Column:
-    """The buckets of a text's n-grams; characters are split once, so that long URLs stay linear."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
+def _chars(text: str) -> Column:
+    return F.filter(F.split(F.col(text), ""), lambda c: c != "")
+
+
+def _hashed(part: str, chars: Column) -> Column:
+    """The buckets of the n-grams of a column of characters (a column, so that it isn't split anew for each n-gram)."""
 
     def of(n):
         places = F.when(F.size(chars) >= n, F.sequence(F.lit(1), F.size(chars) - (n - 1))).otherwise(F.array().cast("array<int>"))
@@ -101,8 +111,9 @@ def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataF
     for v, host, path in sorted(RULES, key=lambda r: len(r[1] + r[2])):  # the longest is asked last, so it stands outermost
         fits = ((F.col("host") == host) | F.endswith(F.col("host"), F.lit("." + host))) & F.startswith(F.col("path"), F.lit(path))
         rule, verdict = F.when(fits, host + path).otherwise(rule), F.when(fits, v).otherwise(verdict)
-    found = F.concat(_hashed("h", F.col("host")), _hashed("p", F.col("path")))
-    rows = rows.select("id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), found.alias("found"))
+    rows = rows.select("id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), _chars("host").alias("hc"), _chars("path").alias("pc"))
+    found = F.concat(_hashed("h", F.col("hc")), _hashed("p", F.col("pc")))
+    rows = rows.select("id", "host", "path", "rule", "ruled", found.alias("found"))
     total = F.aggregate(F.transform("found", lambda k: F.get(longs(WEIGHTS), k)), F.lit(0).cast("bigint"), lambda s, x: s + x)
     score = (F.lit(BIAS) + F.floor(total / F.greatest(F.size("found"), F.lit(1)))).cast("bigint")
     rows = rows.select("id", "host", "path", "rule", "ruled", score.alias("score"))

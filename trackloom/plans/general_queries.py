@@ -33,10 +33,10 @@ def join_semi(spark, sf_dir):
     return c.join(o.where("o_totalprice > 100000"), c.c_custkey == o.o_custkey, "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)")
 def join_anti(spark, sf_dir):
     o, c = t(spark, sf_dir, "orders", "customer")
-    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
+    return c.join(o.where("o_totalprice > 450000"), c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
 
 
 _PREV = "prev AS (SELECT p_brand AS seq, count(*) AS old_n FROM part WHERE p_size <= 20 GROUP BY 1), next AS (SELECT p_brand AS seq, count(*) AS new_n FROM part WHERE p_size >= 45 GROUP BY 1)"

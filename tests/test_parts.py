@@ -84,3 +84,16 @@ def test_the_rest_works_without_the_optional_part(tmp_path):
     shutil.rmtree(tmp_path / "trackloom/llm", ignore_errors=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_workers_elsewhere_get_the_package(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "from trackloom.plans import catalog\n"
+        "assert catalog.queries()['hold_in_buckets'](s, '/root/testdata/sf0.001').count() == 6000\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True)

@@ -2,8 +2,8 @@
 
 A text's words are its first symbols. Each round names maximal runs of a symbol and then neighbouring pairs (a symbol of the left half
 of the alphabet followed by one of the right half); a name is a hash of what it stands for, so every task gives
-equal things equal names without a shared dictionary. What a symbol depends on is tracked as a span of words: wherever these words
-occur, in any document, the same symbol stands in the same place. So equal substrings share their interior symbols.
+equal things equal names without a shared dictionary. What a symbol depends on is tracked as a span of words (those of the symbols that decided it): wherever these words
+occur, in any document, the same symbol stands in the same place and depends on the same span. So equal substrings share their interior symbols.
 
 Search: of every window of words, the symbol of the highest round that is settled by a few words around its start
 becomes the window's anchor (ties by name). Equal windows choose equal anchors, and one anchor serves several windows, so far fewer rows
@@ -45,35 +45,44 @@ def name_round(name, begin, end, low, high, doc):
     length = last - first + 1
     run = name[first]
     run = np.where(length > 1, mix(run * U64(0x9FB21C651E98DF25) + length.astype(np.uint64)), run)
-    doc, begin, end, low, high = doc[first], begin[first], end[last], low[first], high[last]
+    # a run needs its members, and one symbol on either side to show that it ends; of a neighbouring run no more than that
+    whole = doc[1:] == doc[:-1]
+    before, after = _left(low, high, whole), _right(low, high, whole)
+    low, high = (
+        np.minimum(np.minimum(np.minimum.reduceat(low, first), before[0][first]), after[0][last]),
+        np.maximum(np.maximum(np.maximum.reduceat(high, first), before[1][first]), after[1][last]),
+    )
+    doc, begin, end = doc[first], begin[first], end[last]
     same = doc[1:] == doc[:-1]
-    # that a run ends shows only in its neighbours
-    low, high = _with_left(low, same), _with_right(high, same)
     right = (run & U64(1)).astype(bool)
     joined = np.zeros(len(run), bool)
     joined[:-1] = ~right[:-1] & right[1:] & same
     second = np.zeros(len(run), bool)
     second[1:] = joined[:-1]
-    # a symbol alone shows only in the neighbour that it could have joined
-    low = np.where(right & ~second, _with_left(low, same), low)
-    high = np.where(~right & ~joined, _with_right(high, same), high)
+    # a symbol alone shows only in the neighbour that it could have joined; a pair in both its parts
+    before, after = _left(low, high, same), _right(low, high, same)
+    alone = right & ~second
+    other = ~right  # joined with what follows, or alone because of it
+    low = np.where(alone, np.minimum(low, before[0]), np.where(other, np.minimum(low, after[0]), low))
+    high = np.where(alone, np.maximum(high, before[1]), np.where(other, np.maximum(high, after[1]), high))
     at = np.flatnonzero(joined)
     run[at] = mix(run[at] * U64(0xC2B2AE3D27D4EB4F) + (run[at + 1] ^ U64(0x165667B19E3779F9)))
-    end[at], high[at] = end[at + 1], np.maximum(high[at], high[at + 1])
+    end[at] = end[at + 1]
     keep = ~second
     return run[keep], begin[keep], end[keep], low[keep], high[keep], doc[keep]
 
 
-def _with_left(low, same):
-    out = np.full_like(low, -_FAR)
-    out[1:] = np.where(same, np.minimum(low[1:], low[:-1]), -_FAR)
-    return out
+def _left(low, high, same):
+    """(low, high) of the symbol before; where there is none in the text, a span that never settles."""
+    a, b = np.full_like(low, -_FAR), np.full_like(high, -_FAR)
+    a[1:], b[1:] = np.where(same, low[:-1], -_FAR), np.where(same, high[:-1], -_FAR)
+    return a, b
 
 
-def _with_right(high, same):
-    out = np.full_like(high, _FAR)
-    out[:-1] = np.where(same, np.maximum(high[:-1], high[1:]), _FAR)
-    return out
+def _right(low, high, same):
+    a, b = np.full_like(low, _FAR), np.full_like(high, _FAR)
+    a[:-1], b[:-1] = np.where(same, low[1:], _FAR), np.where(same, high[1:], _FAR)
+    return a, b
 
 
 def order_keys(words: Words) -> np.ndarray:
@@ -128,7 +137,24 @@ def _unpacked(column: pa.Array) -> pa.Array:
 
 
 def _rows(row, h, at, ids, tags):
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[row]), pa.array(tags[row]), pa.array(at)], ["h", "id", "tag", "at"])
+    """One row a name and document, however often the name stands there: its places are packed as 64-bit integers."""
+    order = np.lexsort((h, row))
+    row, h, at = row[order], h[order], at[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    first = np.flatnonzero(new)
+    offsets = (np.append(first, len(h)) * 8).astype(np.int32)
+    places = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(at.astype("<i8").tobytes())])
+    row = row[first]
+    return pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(ids[row]), pa.array(tags[row]), places], ["h", "id", "tag", "at"])
+
+
+def _places(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, their number in each row) of lists of packed places."""
+    flat, sizes = lists.flatten(), pa.compute.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
+    before = np.concatenate(([0], np.cumsum(pa.compute.binary_length(flat).to_numpy(zero_copy_only=False) // 8)))
+    ends = np.cumsum(sizes)
+    return np.frombuffer(b"".join(flat.to_pylist()), "<i8"), before[ends] - before[ends - sizes]
 
 
 def _anchor_rows(window: int):
@@ -157,9 +183,8 @@ def _window_rows(window: int):
             for i, j in steps(texts):
                 w = Words(texts.slice(i, j - i).to_pylist())
                 h, ok = w.grams(window)
-                found = b.column(3).slice(i, j - i)
-                held = found.flatten().to_numpy(zero_copy_only=False)
-                at = (held >> width) + np.repeat(w.first, found.value_lengths().to_numpy(zero_copy_only=False))
+                held, many = _places(b.column(3).slice(i, j - i))
+                at = (held >> width) + np.repeat(w.first, many)
                 mine = np.zeros(len(w.hash), bool)
                 for d in range(width):
                     mine[at[(held >> d & 1).astype(bool)] - BEFORE - d] = True
@@ -177,8 +202,8 @@ def _kept_rows(window: int, names: list[str], digest: bool):
             for i, j in steps(texts):
                 w = Words(texts.slice(i, j - i).to_pylist(), spans=True)
                 copy = np.array([bool(x) for x in b.column(b.num_columns - 1).slice(i, j - i).to_pylist()], bool) & (w.last - w.first >= window)
-                found = starts.slice(i, j - i)
-                at = found.flatten().to_numpy(zero_copy_only=False) + np.repeat(w.first, pa.compute.fill_null(found.value_lengths(), 0).to_numpy(zero_copy_only=False))
+                found, many = _places(starts.slice(i, j - i))
+                at = found + np.repeat(w.first, many)
                 diff = np.zeros(len(w.hash) + 1, np.int32)
                 np.add.at(diff, at, 1)
                 np.add.at(diff, at + window, -1)
@@ -198,14 +223,14 @@ def _kept_rows(window: int, names: list[str], digest: bool):
 def _shared(rows: DataFrame, strictly_later: bool) -> DataFrame:
     """Of rows (h, id, tag, at): (id, tag, at list) of those whose h occurs under two ids, or under a smaller id.
 
-    Both uses read one exchange by h: the columns and the filters of both are the same on purpose. The ids of a name are never gathered: only their
+    A document gives one row a name, so a name has as many rows as documents at most. Both uses read one exchange by h: the columns and the filters of both are the same on purpose. The ids of a name are never gathered: only their
     least and greatest are kept.
     """
     rows = rows.where("h is not null and id is not null and tag is not null").repartition(partitions(rows.sparkSession), "h")
     found = rows.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.max("tag").alias("tags"), F.max("at").alias("ats"))
-    found = found.where("least < most and tags >= 0 and ats >= 0").select(F.col("h").alias("g"), "least")
+    found = found.where("least < most and tags >= 0 and ats is not null").select(F.col("h").alias("g"), "least")
     hit = rows.join(found.hint("shuffle_hash"), F.col("h") == F.col("g"))
-    return hit.where("id > least" if strictly_later else "true").groupBy("id", "tag").agg(F.collect_set("at").alias("at"))
+    return hit.where("id > least" if strictly_later else "true").groupBy("id", "tag").agg(F.collect_list("at").alias("at"))
 
 
 def _copies(texts: DataFrame) -> DataFrame:
@@ -216,7 +241,20 @@ def _copies(texts: DataFrame) -> DataFrame:
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, digest: bool = False) -> DataFrame:
-    """df's columns with `kept` (the remaining words joined by one space; with digest their SHA-256), `n_words` and `n_removed`."""
+    """df's columns (with digest only the id) with `kept` (the remaining words joined by one space; with digest their SHA-256), `n_words` and `n_removed`."""
+    own = df.columns if not digest else [id_col]
+    return _deduplicated(df, id_col, text_col, window, digest).toDF(*own, "kept", "n_words", "n_removed")
+
+
+def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", window: int = 13) -> DataFrame:
+    """df's columns; texts that lose words become the remaining ones, joined by one space, and their size in characters follows. Other texts stay as they are."""
+    out, lost = _deduplicated(df, id_col, text_col, window, False), F.col("n_removed") > 0
+    new = {text_col: F.col("kept"), size_col: F.char_length("kept").cast("long")}
+    return out.select(*((F.when(lost, new[c]).otherwise(F.col(f"c{k}")) if c in new else F.col(f"c{k}")).alias(c) for k, c in enumerate(df.columns)))
+
+
+def _deduplicated(df: DataFrame, id_col: str, text_col: str, window: int, digest: bool) -> DataFrame:
+    """(c0, c1, ..., kept, n_words, n_removed)."""
     spark = df.sparkSession
     bounded_batches(spark)
     n = partitions(spark)
@@ -229,17 +267,16 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     packed = StructType([source.schema["id"], source.schema["tag"], StructField("text", BinaryType()), *source.schema.fields[3:]])
     moved = source.mapInArrow(_packed_rows, packed).where("id is not null and tag is not null").repartition(n, "id", "tag")
     whole = moved.join(_copies(source).hint("shuffle_hash"), ["id", "tag"], "left")
-    first = whole.where("copy is null").withColumn("at", F.lit(None).cast("array<bigint>")).select(*every)
-    found = _shared(first.mapInArrow(_anchor_rows(window), "h long, id long, tag int, at long"), False)
+    first = whole.where("copy is null").withColumn("at", F.lit(None).cast("array<binary>")).select(*every)
+    found = _shared(first.mapInArrow(_anchor_rows(window), "h long, id long, tag int, at binary"), False)
     second = moved.join(found.hint("shuffle_hash"), ["id", "tag"]).select(*every)
-    repeats = _shared(second.mapInArrow(_window_rows(window), "h long, id long, tag int, at long"), True)
+    repeats = _shared(second.mapInArrow(_window_rows(window), "h long, id long, tag int, at binary"), True)
     third = whole.join(repeats.hint("shuffle_hash"), ["id", "tag"], "left").select(*every, "copy")
     kept = [("kept", "string"), ("n_words", "bigint"), ("n_removed", "bigint")]
     names = [*(c for c, _ in kept), *every[4:]]
     schema = StructType([*spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in kept)).schema, *(third.schema[c] for c in every[4:])])
     out = third.mapInArrow(_kept_rows(window, names, digest), schema)
-    own = df.columns if not digest else [id_col]
-    return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(own)), *(c for c, _ in kept))
+    return out.select(*every[4:], *(c for c, _ in kept))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,3 +28,23 @@ def test_stages_against_brute_force(spark, sf):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_odd_rows_and_clashing_columns(spark, sf):
+    long = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, long, "en", "a", 200), (2, long + " more", "en", None, 205), (3, None, None, None, None), (4, "", "en", "a", 0), (None, "the only one here", None, "b", 17), (5, "12 !!", "en", "b", 5), (6, "x " * 30000, "en", "a", 60000), (7, "short one", "de", "a", 9), (7, "short one", "de", "a", 9)]
+    names = ["kept", "id", "kind", "n", "src", "key", "c0", "tag", "at", "h", "n_tokens", "tokens", "pred", "score", "_gone", "copy", "turn", "place", "pass", "component_id"]
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names))
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+        assert docs.columns == columns or name == "tokens"
+    left = sorted(str(r.doc_id) for r in docs.collect())
+    assert set(left) == {"1", "None", "6", "7"}
+
+
+def test_empty_documents(spark, sf):
+    docs = bpe.documents(spark, sf).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+    assert docs.count() == 0

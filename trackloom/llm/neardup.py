@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm.shared import U64, Words, bounded_batches, cut, documents, mix, steps, text_bytes
+from trackloom.llm.shared import U64, Words, bounded_batches, cut, documents, drop, mix, steps, text_bytes
 
 SHINGLE, HALVES, ROWS = 5, 16, 2
 SIGNATURE = 2 * HALVES * ROWS
@@ -135,10 +135,13 @@ def components(links: DataFrame) -> DataFrame:
         small = large.where("u > v").distinct()
         least = small.groupBy("u").agg(F.min("v").alias("m"))
         out = small.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).distinct()
-        edges = cut(out)
+        old, edges = edges, cut(out)
+        drop(old)
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(30,0)"))).first())
         if state == before:
-            return edges.select(F.col("u").alias("v"), F.col("v").alias("least"))
+            out = edges.select(F.col("u").alias("v"), F.col("v").alias("least"))
+            out._trackloom_path = edges._trackloom_path
+            return out
         before = state
 
 
@@ -212,10 +215,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = cut(texts.groupBy("kind").agg(F.max("text").alias("text")))
     # a class with too many shingles of its own is near to no other
     able = shared_counts(texts, classes).join(classes.select("kind", "n"), "kind").where(F.col("s") * 100 >= F.col("n") * percent).select("kind", "s")
-    keys = keys.join(cut(able), "kind")
+    able = cut(able)
+    keyed = keys.join(able, "kind")
     member = F.struct("id", "kind", "n", "s")
-    buckets = keys.groupBy("table").agg(F.min(member).alias("least"), F.max(member).alias("most")).where("least < most")
-    in_bucket = cut(keys.join(buckets.select("table", "least"), "table"))
+    buckets = keyed.groupBy("table").agg(F.min(member).alias("least"), F.max(member).alias("most")).where("least < most")
+    in_bucket = cut(keyed.join(buckets.select("table", "least"), "table"))
     star = in_bucket.where(F.col("kind") != F.col("least.kind")).where(_possible("", "least.", percent))
     star = star.select(F.col("kind").alias("x"), F.col("least.kind").alias("y"), F.col("id").alias("x_id"), F.col("least.id").alias("y_id")).distinct()
     links = cut(confirm(star, texts, percent))
@@ -224,9 +228,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     mine = in_bucket.join(found.withColumnRenamed("least", "part"), in_bucket.id == found.v, "left")
     mine = mine.select("table", "kind", "id", "n", "s", F.col("least.kind").alias("centre"), F.coalesce("part", "id").alias("part"))
     mixed = mine.groupBy("table").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("table")
-    rest = cut(mine.join(mixed, "table").where("kind <> centre").select("kind", "id", "n", "s", "part").distinct())
-    bitmaps = texts.join(rest.select("kind"), "kind").mapInArrow(_bitmap_rows, "kind long, bits array<long>, ones long")
-    rest = cut(rest.join(classes.select("kind", "signature"), "kind").withColumn("halves", _half_keys()).join(bitmaps, "kind"))
+    alone = cut(mine.join(mixed, "table").where("kind <> centre").select("kind", "id", "n", "s", "part").distinct())
+    bitmaps = texts.join(alone.select("kind"), "kind").mapInArrow(_bitmap_rows, "kind long, bits array<long>, ones long")
+    rest = cut(alone.join(classes.select("kind", "signature"), "kind").withColumn("halves", _half_keys()).join(bitmaps, "kind"))
     halves = rest.select("*", F.posexplode(F.slice("halves", 1, HALVES)).alias("i", "h"))
     a, b = halves.alias("a"), halves.alias("b")
     equal = F.aggregate(F.zip_with("a.signature", "b.signature", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
@@ -237,9 +241,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     across = across.select(F.col("a.kind").alias("x"), F.col("b.kind").alias("y"), F.col("a.id").alias("x_id"), F.col("b.id").alias("y_id")).distinct()
     more = cut(confirm(across, texts, percent))
     if not more.isEmpty():
+        drop(found)
         found = components(links.union(more))
+    drop(keys, texts, able, in_bucket, links, alone, rest, more)
     named = classes.select("kind", F.col("id").alias("v")).join(found, "v", "left").select("kind", F.coalesce("least", "v").alias("component"))
-    out = rows.select("id", "n", "kind").join(named, "kind", "left")
+    out = cut(rows.select("id", "n", "kind").join(named, "kind", "left").select("id", "n", "component"))
+    drop(rows, classes, found)
     component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")))
     return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 

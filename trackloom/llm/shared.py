@@ -46,7 +46,15 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/trackloom-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._trackloom_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables that `cut` made and that nothing will read again."""
+    for t in tables:
+        _remove(t.sparkSession, t._trackloom_path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -8,7 +8,7 @@ The automata are made complete: where a character does not continue a phrase, th
 marks the step. Texts are cut into blocks of equal length, each parsed on its own, and all blocks of a batch advance together, one
 character a step, for all languages at once; the blocks' phrases are summed, so every character of a text counts.
 
-The labelled text is a bounded sample: `characters` a language from whole texts of at most `longest` characters, in the order
+The labelled text is a bounded sample: about `characters` a language, of whole texts of at most `longest` characters, in the order
 of a hash of their ids, for the `languages` most frequent labels. Null texts and texts without a letter are `und` with score 0. Ties go to the
 label with more labelled texts. Null labels and null ids are never learned from; a table without labels gives `und` only.
 """
@@ -196,7 +196,7 @@ def _split_at_zero(codes):
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", characters: int = 24_000, longest: int = 1500, languages: int = 64) -> Model:
-    """A model of a bounded sample, at most languages * characters characters at the driver (each drawn with some to spare)."""
+    """A model of a bounded sample: whole texts until `characters` of a language are reached, so languages * (characters + longest) at most."""
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("lang"))
     rows = rows.where("id is not null and lang is not null").where(F.length("text").between(1, longest))
     found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("size")).orderBy(F.desc("n"), "lang").limit(languages).collect()
@@ -209,7 +209,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     room = dict.fromkeys(samples, characters)
     for r in drawn:
         if room[r.lang] > 0:
-            samples[r.lang].append(r.text[: room[r.lang]])
+            samples[r.lang].append(r.text)
             room[r.lang] -= len(r.text)
     return Model(samples)
 

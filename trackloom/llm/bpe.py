@@ -24,8 +24,9 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from trackloom.llm.shared import bounded_batches, documents
 
-#: Entries of the memos of one worker, which start anew when full (bounds memory, never results), and the longest match that is kept.
-MEMO_ENTRIES, MEMO_CHARS = 400_000, 48
+#: Entries of a generation of a worker's memos, and the longest match that is kept. They bound memory, never results: a full generation becomes the old
+#: one, from which what is still used moves to the new.
+MEMO_ENTRIES, MEMO_CHARS = 130_000, 48
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -44,8 +45,9 @@ class Codec:
             self.automaton.add_word(token.decode("latin-1"), i)
         self.automaton.make_automaton()
         self._shorter: dict[int, int | None] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self._pieces: dict[str, tuple[int, ...]] = {}
+        self._old: dict[str, tuple[int, ...]] = {}
 
     def merged(self, data: bytes) -> list[bytes]:
         """Merges by lowest rank, leftmost first, as they are defined; for the short strings of two tokens."""
@@ -60,12 +62,13 @@ class Codec:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether `right` may follow `left`."""
-        found = self._fits.get((left, right))
+        pair = left << 32 | right
+        found = self._fits.get(pair)
         if found is None:
-            if len(self._fits) >= MEMO_ENTRIES:
+            if len(self._fits) >= 3 * MEMO_ENTRIES:
                 self._fits.clear()
             a, b = self.tokens[left], self.tokens[right]
-            found = self._fits[left, right] = self.merged(a + b) == [a, b]
+            found = self._fits[pair] = self.merged(a + b) == [a, b]
         return found
 
     def shorter(self, token: int) -> int | None:
@@ -110,10 +113,13 @@ class Codec:
         for piece in self.split.findall(text):
             ids = pieces.get(piece)
             if ids is None:
-                ids = tuple(self.encode_piece(piece.encode("utf-8", "replace")))
+                ids = self._old.get(piece)
+                if ids is None:
+                    ids = tuple(self.encode_piece(piece.encode("utf-8", "replace")))
                 if len(piece) <= MEMO_CHARS:
                     if len(pieces) >= MEMO_ENTRIES:
-                        pieces.clear()
+                        self._old, self._pieces = pieces, {}
+                        pieces = self._pieces
                     pieces[piece] = ids
             out += ids
         return out

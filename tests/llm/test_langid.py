@@ -57,3 +57,19 @@ def test_edge_cases(spark):
     assert got[None].lang_pred == "en" and got[6].lang_pred == "de" and got[7].lang_pred in ("en", "de") and got[8].lang_pred in ("en", "de")
     assert {r.lang_pred for r in langid.identify(df, langid.fit(df.limit(0))).collect()} == {"und"}
     assert langid.identify(df.limit(0), model).count() == 0
+
+
+def test_long_texts_are_learned(spark):
+    """A language whose labelled texts are all long is learned, each text from several of its places."""
+    en, de, fr = ("the cat and the dog of the house ", "der hund und die katze in dem haus ", "le chat et le chien de la maison ")
+    rows = [(k, en, "en") for k in range(20)] + [(k, de * 200, "de") for k in range(20, 40)] + [(k, fr * 3000, "fr") for k in range(40, 42)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert sorted(model.names) == ["de", "en", "fr"]
+    assert {(r.id, r.lang_pred) for r in langid.identify(df, model).collect()} == {(k, x) for k, _, x in rows}
+
+
+def test_recognised_drops_only_letterless(spark):
+    df = spark.createDataFrame([(1, "the house", None), (2, None, "en"), (3, "12 !", "en"), (4, "Ωμέγα " * 900, None)], "doc_id long, text string, lang string")
+    for model in (langid.fit(df), langid.Model({})):
+        assert {(r.doc_id, r.lang) for r in langid.recognised(df, model, "lang").collect()} == {(1, "und"), (4, "und")}

@@ -8,8 +8,8 @@ The automata are made complete: where a character does not continue a phrase, th
 marks the step. Texts are cut into blocks of equal length, each parsed on its own, and all blocks of a batch advance together, one
 character a step, for all languages at once; the blocks' phrases are summed, so every character of a text counts.
 
-The labelled text is a bounded sample: about `characters` a language, of whole texts of at most `longest` characters, in the order
-of a hash of their ids, for the `languages` most frequent labels. Null texts and texts without a letter are `und` with score 0. Ties go to the
+The labelled text is a bounded sample: about `characters` a language, of texts of every length, each cut into pieces of at most `longest` characters, in
+the order of a hash of id, text and piece (copies of both once), for the `languages` most frequent labels. Null texts and texts without a letter are `und` with score 0. Ties go to the
 label with more labelled texts. Null labels and null ids are never learned from; a table without labels gives `und` only.
 """
 
@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from trackloom.llm.shared import bounded_batches, documents, steps
 
@@ -103,8 +103,8 @@ class Model:
     """names; classes: code point -> class; table: (state * classes + class) -> 2 * (next state * classes) + (1 where a phrase begins)."""
 
     def __init__(self, samples: dict[str, list[str]]):
-        self.names = list(samples)
         texts = {k: [t for x in v if (t := normalised(x)).strip()] for k, v in samples.items()}
+        self.names = [k for k, v in texts.items() if v]  # without a letter nothing is learned
         counts: dict[str, int] = {}
         for t in (t for v in texts.values() for t in v):
             for c in t:
@@ -162,7 +162,7 @@ class Model:
             out[some] = np.add.reduceat(count, first[some], axis=1).T
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         t = _Tables.load()
         whole = [x or "" for x in texts]
         p = points("".join(whole))
@@ -175,13 +175,13 @@ class Model:
         keep[1:] = (c[1:] != _SPACE) | (c[:-1] != _SPACE) | (doc[1:] != doc[:-1])
         c, sizes = c[keep], np.bincount(doc[keep], minlength=len(whole))
         if not self.names:
-            return ["und"] * len(whole), [0.0] * len(whole)
+            return ["und"] * len(whole), [0.0] * len(whole), lettered.tolist()
         bits = self.phrases(c, sizes) * np.array(self.bits) / np.maximum(sizes, 1)[:, None]
         best = bits.argmin(1)
         least = bits.min(1)
         weight = 2.0 ** (4 * (least[:, None] - bits))
         score = 1 / weight.sum(1)
-        return [self.names[b] if ok else "und" for b, ok in zip(best, lettered)], np.where(lettered, score, 0.0).tolist()
+        return [self.names[b] if ok else "und" for b, ok in zip(best, lettered)], np.where(lettered, score, 0.0).tolist(), lettered.tolist()
 
 
 def _split_at_zero(codes):
@@ -196,18 +196,20 @@ def _split_at_zero(codes):
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", characters: int = 24_000, longest: int = 1500, languages: int = 64) -> Model:
-    """A model of a bounded sample: whole texts until `characters` of a language are reached, so languages * (characters + longest) at most."""
+    """A model of a bounded sample: pieces of texts until `characters` of a language are reached, so languages * (characters + longest) at most."""
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("lang"))
-    rows = rows.where("id is not null and lang is not null").where(F.length("text").between(1, longest))
-    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("size")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    rows = rows.where("id is not null and lang is not null").withColumn("size", F.length("text")).withColumn("hash", F.xxhash64("id", "text")).where("size > 0")
+    place = lambda k: F.pmod(F.xxhash64("hash", k), F.lit(1 << 30))
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min(place(F.lit(0))).alias("least")).orderBy(F.desc("n"), "lang").limit(languages).collect()
     if not found:
         return Model({})
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    share = F.create_map(*(F.lit(x) for r in found for x in (r.lang, int((1 << 30) * min(1.0, 2 * characters / r["size"])))))
-    drawn = rows.where(place <= share[F.col("lang")]).select("lang", place.alias("place"), "text").orderBy("place", "text").collect()
+    # a piece is drawn by its place, before it is cut out of its text
+    pieces = rows.select("hash", "lang", "text", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / longest).cast("int"))).alias("k"))
+    share = F.create_map(*(F.lit(x) for r in found for x in (r.lang, max(r.least, int((1 << 30) * min(1.0, 2 * characters / r["size"]))))))
+    drawn = pieces.withColumn("place", place("k")).where(F.col("place") <= share[F.col("lang")]).select("lang", "place", F.substring("text", F.col("k") * longest + 1, F.lit(longest)).alias("text"))
     samples: dict[str, list[str]] = {r.lang: [] for r in found}
     room = dict.fromkeys(samples, characters)
-    for r in drawn:
+    for r in drawn.distinct().orderBy("place", "text", "lang").collect():
         if room[r.lang] > 0:
             samples[r.lang].append(r.text)
             room[r.lang] -= len(r.text)
@@ -216,13 +218,13 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, carried columns, lang_pred, score) for every whole text; `und` where it is null or has no letter."""
-    out = _predicted(df, model, text_col, (id_col, *carry))
+    out = _predicted(df, model, text_col, (id_col, *carry)).drop("lettered")
     return out.toDF("id", *carry, "lang_pred", "score")
 
 
 def recognised(df: DataFrame, model: Model, label_col: str, text_col: str = "text") -> DataFrame:
-    """df's rows that have a language; a null label becomes the predicted one."""
-    out = _predicted(df, model, text_col, tuple(df.columns)).where("pred <> 'und'")
+    """df's rows whose text has a letter, whatever the model knows; a null label becomes the predicted one."""
+    out = _predicted(df, model, text_col, tuple(df.columns)).where("lettered")
     return out.select(*(F.coalesce(f"c{k}", "pred" if c == label_col else f"c{k}").alias(c) for k, c in enumerate(df.columns)))
 
 
@@ -230,14 +232,14 @@ def _predicted(df: DataFrame, model: Model, text_col: str, carry: tuple[str, ...
     bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     put = df.select(F.col(text_col).alias("t"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry)))
-    schema = StructType([*put.schema.fields[1:], StructField("pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*put.schema.fields[1:], StructField("pred", StringType()), StructField("score", DoubleType()), StructField("lettered", BooleanType())])
 
     def run(batches):
         m = shared.value
         for b in batches:
             for i, j in steps(b.column(0), 1 << 19):
-                names, scores = m.predict(b.column(0).slice(i, j - i).to_pylist())
-                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, j - i) for k in range(1, b.num_columns)), pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema.names)
+                names, scores, lettered = m.predict(b.column(0).slice(i, j - i).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, j - i) for k in range(1, b.num_columns)), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(lettered, pa.bool_())], schema.names)
 
     return put.mapInArrow(run, schema)
 

@@ -73,3 +73,30 @@ def test_recognised_drops_only_letterless(spark):
     df = spark.createDataFrame([(1, "the house", None), (2, None, "en"), (3, "12 !", "en"), (4, "Ωμέγα " * 900, None)], "doc_id long, text string, lang string")
     for model in (langid.fit(df), langid.Model({})):
         assert {(r.doc_id, r.lang) for r in langid.recognised(df, model, "lang").collect()} == {(1, "und"), (4, "und")}
+
+
+def test_every_letter_is_learned(spark):
+    """Scripts of thousands of letters, and one beyond the basic plane, by the counts of phrases."""
+    rng = random.Random(5)
+    scripts = {"zh": range(0x4E00, 0x5200), "ja": range(0x5200, 0x5600), "ko": range(0xAC00, 0xB000), "ff": range(0x1E900, 0x1E944)}
+    text = {k: ["".join(chr(rng.choice(v)) for _ in range(1200)) for _ in range(10)] for k, v in scripts.items()} | {"en": ["the cat and the dog of the house " * 30] * 10}
+    df = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate((k, t) for k, v in text.items() for t in v)], "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    for k, v in text.items():
+        # pieces of the texts read in another order
+        assert model.predict(["".join(v[3][i : i + 40] for i in range(1000, -1, -40))])[0] == [k]
+    some = langid.normalised(text["zh"][0][:300] + " the ሀ " + text["ff"][0][:300])
+    p = langid.points(some)
+    strings = {k: [langid.normalised(x) for x in v] for k, v in text.items()}
+    got = model.phrases(model.classes[p], np.array([len(p)]))[0]
+    assert dict(zip(model.names, got.tolist())) == {k: longest_phrases(some, v) for k, v in strings.items()}
+
+
+def test_every_label_is_learned(spark):
+    """More labels than have the full sample each; those with the fewest documents too."""
+    words = [f"{a}{b}" for a in "bcdfghjklm" for b in "aeiouwxyz"][:80]
+    rows = [(len(words) * j + k, f"{w}{w} {w} " * 20, f"l{k:02}") for k, w in enumerate(words) for j in range(2 if k < 64 else 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert len(model.names) == 80
+    assert {(r.id, r.lang_pred) for r in langid.identify(df, model).collect()} == {(k, x) for k, _, x in rows}

@@ -39,3 +39,21 @@ def test_whole_table(spark, sf):
     pages = {r.page_id: r.url for r in urls.documents(spark, sf, "pages").collect()}
     for r in urls.op8(spark, sf).collect():
         assert (r.host, r.path, r.rule, r.verdict, r.score) == brute(pages[r.page_id])
+
+
+def test_the_path_tells():
+    """On a host that says nothing the path decides, and the table isn't made of the judged pages' names."""
+    for host in ("www.quiet-lane.org", "someplace.net"):
+        for path in ("/casino-bonus/viagra", "/free-bets/poker", "/adult/xxx-cams", "/cheap-pills/order"):
+            assert brute(f"http://{host}{path}")[3] == "block", (host, path)
+        for path in ("/books/history", "/gardening/roses", "/science/physics", "/school/timetable"):
+            assert brute(f"http://{host}{path}")[3] == "allow", (host, path)
+
+
+def test_the_table_is_not_the_judged_pages(spark, sf):
+    hosts = {brute(r.url)[0] for r in urls.documents(spark, sf, "pages").collect()}
+    assert not {x for h in hosts for x in h.split(".")} & {*urls.ALLOW, *urls.BLOCK}
+
+
+def test_nothing_known_is_allowed():
+    assert [brute(u)[3] for u in (None, "", "http://", "no scheme")] == ["allow"] * 4

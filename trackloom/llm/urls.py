@@ -22,16 +22,32 @@ from trackloom.llm.shared import documents
 #: (verdict, host, path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
-#: The labelled table: made-up site names, each in every frame, so that only the names tell the classes apart.
+#: The labelled table: made-up site names on neutral paths, and telling paths on neutral sites, so that host and path each tell the classes apart. Where neither says anything (long
+#: paths of plain words too), a URL is allowed.
 ALLOW = (
     "library", "daily-herald", "gardening", "city-museum", "kitchen", "weather", "history", "travel-guide", "health-council", "cycling", "bookstore", "school", "science", "archive", "orchestra", "transit",
-    "parliament", "mathematics", "heron", "thread", "brother", "mother", "there", "weathering", "ththere", "thinging", "thertion", "tionthe", "thousand", "thatch-houses", "southstation", "thoughts", "whatthat", "northstar",
+    "parliament", "mathematics", "university", "theatre", "hospital", "fishing-club", "astronomy", "farmers-market", "local-news", "railway", "chess", "architecture", "thread-and-needle", "birdwatching", "poetry", "geology",
 )
 BLOCK = (
-    "casino-win", "royal-casino", "free-bets", "best-bets", "poker-bonus", "cheap-pills", "discount-pills", "pharma-cheap", "adult-x", "adult-videos", "xxx-cams", "spam-farm", "link-farm", "spam-links", "ads-track", "ads-click",
-    "pop-ads", "free-download-crack", "warez-crack", "win-free-phone", "payday-loans", "get-rich-fast", "replica-watches", "hot-adult-chat", "slots-jackpot", "viagra-order", "seo-spam", "free-xxx", "bonus-slots", "cheap-viagra", "adult-cams", "track-click", "spam-ads", "win-prize",
+    "royal-casino", "grand-casino-online", "best-bets", "sports-betting", "poker-bonus", "discount-pills", "pharma-cheap", "no-prescription-meds", "adult-videos", "xxx-cams", "link-farm", "spam-links", "ads-click", "pop-ads",
+    "banner-ads", "free-download-crack", "warez-crack", "win-free-phone", "payday-loans", "get-rich-fast", "replica-watches", "hot-adult-chat", "slots-jackpot", "viagra-order", "seo-spam", "free-xxx", "bonus-slots", "cheap-viagra", "lottery-winner",
+    "keygen-serials", "porn-tube", "click-tracker",
 )
-FRAMES = ("www.{}.example.com/en/12", "{}.example.net/de/345.html", "blog.{}.example.org/fr/67/", "m.{}.example.net/es/890", "{}.example.com/fr/4071", "www.{}.example.org/de/5526.html", "m.{}.org/about", "blog.{}.net/en/news")
+ALLOW_PATHS = (
+    "/catalogue/books", "/politics/elections", "/roses/pruning", "/manual/install", "/physics/courses", "/bread/sourdough", "/exhibits/bronze", "/forecast/north", "/wiki/rome", "/italy/venice", "/advice/vaccines", "/repairs/brakes",
+    "/novels/classic", "/timetable/winter", "/articles/biology", "/concerts/spring", "/lines/blue", "/debates/budget", "/proofs/primes", "/research/climate", "/recipes/soup", "/history/castles", "/gardening/trees", "/school/lessons",
+)
+BLOCK_PATHS = (
+    "/slots/bonus", "/casino/jackpot", "/odds/free-bets", "/betting/bonus", "/poker/cash", "/viagra/order", "/pills/buy-cheap", "/meds/no-prescription", "/xxx/free", "/adult/live", "/cams/girls", "/buy-links/seo", "/spam/article", "/ads/redirect",
+    "/pixel/click", "/banner/popup", "/keygen/serial", "/torrent/crack", "/prize/claim", "/payday/cash", "/money/get-rich", "/replica/rolex", "/porn/videos", "/lottery/winner",
+)
+NEUTRAL_SITES = ("www.portal.org", "home.pages.com", "site.net", "www.host.com", "my.place.org", "web.server.net", "start.com", "www.corner.net")
+NEUTRAL_PATHS = ("", "/", "/about", "/page/2", "/index.html", "/contact/us", "/news/2021/03", "/item/7")
+PLAIN = (
+    "stone", "river", "window", "morning", "yellow", "seven", "another", "together", "north", "paper", "winter", "simple", "bridge", "letter", "garden", "mountain", "harbour", "silver", "evening", "corner", "summer", "village",
+    "candle", "forest", "island", "meadow", "pebble", "shadow", "thunder", "valley",
+)
+FRAMES = ("www.{}.org", "{}.com", "{}.net", "shop.{}.com", "www.{}.net", "{}.org", "info.{}.org", "www.{}.com")
 
 SIZES, BUCKETS, STEPS, RATE, DECAY = (3, 4), 4096, 120, 40.0, 1e-5
 UNIT = 1_000_000
@@ -51,7 +67,11 @@ def features(host: str, path: str) -> list[int]:
 
 def labelled() -> list[tuple[str, int]]:
     """(host and path, 1 where to block)."""
-    return [(frame.format(name), y) for y, names in ((0, ALLOW), (1, BLOCK)) for name in names for frame in FRAMES]
+    by_host = [(frame.format(name) + path, y) for y, names in ((0, ALLOW), (1, BLOCK)) for name in names for frame, path in zip(FRAMES, NEUTRAL_PATHS)]
+    plain = [(site + path, 0) for site in NEUTRAL_SITES for path in NEUTRAL_PATHS] + [(frame.format(name) + path, 0) for name in PLAIN for frame, path in zip(FRAMES, NEUTRAL_PATHS)]
+    plain += [(site + "/" + "-".join(PLAIN[k : k + 12]), 0) for k, site in enumerate(NEUTRAL_SITES)]
+    plain += [("", 0)] * 40  # nothing known: allowed, so many that the bias comes out below 0
+    return by_host + plain + [(site + path, y) for y, paths in ((0, ALLOW_PATHS), (1, BLOCK_PATHS)) for path in paths for site in NEUTRAL_SITES]
 
 
 def train() -> tuple[list[int], int]:

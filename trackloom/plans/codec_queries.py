@@ -298,7 +298,8 @@ def stream_rollup(spark, sf_dir):
 
 @query(f"WITH {SYMBOLS}, {_STREAMS} SELECT sum(raw_bytes)::BIGINT AS out_bytes, round(320000.0 / sum(raw_bytes), 6) AS ratio, round(sum(raw_bytes) / 86.0, 6) AS bytes_per_frame, round(sum(raw_bytes) / 12900.0, 6) AS bytes_per_point FROM st")
 def stream_rates(spark, sf_dir):
-    return analysis.rates(symbols.widths(long(spark, sf_dir)), 86, 150, 320000)
+    n = ev_track(spark, sf_dir).agg(F.count_distinct("frame").alias("frames"), F.count_distinct("entity").alias("entities"), (F.count("*") * 32).alias("input_bytes")).first()
+    return analysis.rates(symbols.widths(long(spark, sf_dir)), n.frames, n.entities, n.input_bytes)
 
 
 _D5 = ", ".join(f"list_sort([coalesce(lag({c}, 2) OVER w, first({c}) OVER f), coalesce(lag({c}) OVER w, first({c}) OVER f), {c}, coalesce(lead({c}) OVER w, last({c}) OVER f), coalesce(lead({c}, 2) OVER w, last({c}) OVER f)])[3] AS {c}_ref" for c in ("c0",))

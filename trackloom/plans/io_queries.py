@@ -128,9 +128,10 @@ def byte_ranges(spark, sf_dir):
     from trackloom.operators.tracks import ev_track
 
     f = ev_track(spark, sf_dir).select("frame").distinct()
+    f = f.crossJoin(F.broadcast(f.agg(F.max("frame").alias("end"))))
     r = f.withColumn("range", F.format_string("bytes=%d-%d", F.col("frame") * 32, F.col("frame") * 32 + 31))
     part = lambda k: F.regexp_extract("range", r"bytes=(\d*)-(\d*)", k).cast("bigint")
-    return r.select("frame", "range", part(1).alias("first"), part(2).alias("last"), F.round(F.col("frame") / 20.0, 6).alias("t"), F.least(F.lit(85), F.floor(F.col("frame") / 20.0 * 20)).cast("bigint").alias("at"))
+    return r.select("frame", "range", part(1).alias("first"), part(2).alias("last"), F.round(F.col("frame") / 20.0, 6).alias("t"), F.least("end", F.floor(F.col("frame") / 20.0 * 20)).cast("bigint").alias("at"))
 
 
 @query("SELECT epoch(time_bucket(INTERVAL 1 day, ts))::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

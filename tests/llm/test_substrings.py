@@ -86,3 +86,12 @@ def test_edge_cases(spark):
     assert got == [(1, 0, 0), (2, 0, 0), (3, 20, 0), (5, 20, 20), (5, 20, 20), (99, 0, 0), (99, 20, 20)]
     assert substrings.dedup(df.limit(0)).count() == 0
     assert np.all([r[1] == t for r in df.where("doc_id = 3").collect()])
+
+
+def test_wide_windows(spark):
+    """More windows to an anchor than a mask has bits."""
+    for window in (8, 39, 40, 75):
+        docs = [(i, t) for i, t in corpus(7, words=9)] + [(100 + k, " ".join(f"z{j}" for j in range(k, k + 150))) for k in (0, 20, 50)]
+        df = spark.createDataFrame(docs, "doc_id long, text string")
+        got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substrings.dedup(df, window=window, digest=True).collect())
+        assert got == brute(docs, window) and sum(r[2] for r in got) > 0

@@ -33,6 +33,8 @@ from trackloom.llm.shared import U64, Words, bounded_batches, documents, mix, pa
 
 #: Words before and after an anchor's start that settle its symbol; rounds of naming.
 BEFORE, AFTER, ROUNDS = 3, 5, 2
+#: Bits of a mask of windows; a place stands above them in 64 bits.
+MASK = 31
 _FAR = 1 << 30
 
 
@@ -100,11 +102,12 @@ def order_keys(words: Words) -> np.ndarray:
 
 
 def anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, hash, mask): the chosen anchors, the hash of the words that settle them, and a bit for each window that chose them:
-    bit d for the window that starts BEFORE + d words before the anchor."""
+    """(place, hash, mask): the chosen anchors' places, the hash of the words that settle them, and a bit for each window that chose them:
+    bit d for the window that starts BEFORE + d words before the place. Windows farther before the anchor than MASK bits tell have rows with
+    a place so much earlier."""
     n = len(words.hash)
     if n < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     keys = order_keys(words)
     size = BEFORE + AFTER
     width = window - size + 1  # an anchor may start at window start + BEFORE .. + BEFORE + width - 1
@@ -115,13 +118,17 @@ def anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
         span += step
     m = n - window + 1
     windows = words.doc[:m] == words.doc[window - 1 :]
-    chosen = np.zeros(n, np.int32)
-    for d in range(width):
-        hit = windows & (least[BEFORE : BEFORE + m] == keys[BEFORE + d : BEFORE + d + m])
-        chosen[BEFORE + d : BEFORE + d + m] |= hit.astype(np.int32) << d
-    at = np.flatnonzero(chosen)
     grams, _ = words.grams(size)
-    return at, grams[at - BEFORE], chosen[at]
+    out = []
+    for far in range(0, width, MASK):
+        chosen = np.zeros(n, np.int64)
+        for d in range(far, min(width, far + MASK)):
+            hit = windows & (least[BEFORE : BEFORE + m] == keys[BEFORE + d : BEFORE + d + m])
+            chosen[BEFORE + d : BEFORE + d + m] |= hit.astype(np.int64) << (d - far)
+        at = np.flatnonzero(chosen)
+        out.append((at - far, grams[at - BEFORE], chosen[at]))
+    at, h, mask = (np.concatenate(x) for x in zip(*out))
+    return at, h, mask
 
 
 def _packed_rows(batches):
@@ -157,9 +164,16 @@ def _places(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(flat.to_pylist()), "<i8"), before[ends] - before[ends - sizes]
 
 
+def _width(window: int) -> int:
+    """Bits of a mask."""
+    if window < BEFORE + AFTER:
+        raise ValueError(f"a window has {BEFORE + AFTER} words or more, not {window}")
+    return min(MASK, window - BEFORE - AFTER + 1)
+
+
 def _anchor_rows(window: int):
     """(hash, id, tag, at): at is the anchor's place and, in its low bits, the mask of the windows that chose it."""
-    width = window - BEFORE - AFTER + 1
+    width = _width(window)
 
     def run(batches):
         for b in batches:
@@ -175,7 +189,7 @@ def _anchor_rows(window: int):
 
 def _window_rows(window: int):
     """The windows that chose a shared anchor: (hash of all words, id, tag, start)."""
-    width = window - BEFORE - AFTER + 1
+    width = _width(window)
 
     def run(batches):
         for b in batches:

@@ -10,7 +10,7 @@ becomes the window's anchor (ties by name). Equal windows choose equal anchors,
 than windows are shuffled. Only where an anchor's words occur in two documents are the windows around it named and
 compared, each by a hash of all its words; this verifies the repeats exactly, up to collisions of 64-bit names.
 
-Texts that are equal as a whole are one symbol in the end; all but the first of such copies take no part in the search and lose every
+Texts that are equal as a whole are found by their md5; all but the first of such copies take no part in the search and lose every
 word (if they have a window at all).
 
 A word goes if a window that covers it also starts in a document with a smaller id. Null and empty texts have no words;
@@ -248,7 +248,7 @@ def _shared(rows: DataFrame, strictly_later: bool) -> DataFrame:
 
 
 def _copies(texts: DataFrame) -> DataFrame:
-    """(id, tag) of texts that also stand under a smaller id: their last rounds end in one equal symbol, the text's own name."""
+    """(id, tag) of texts that also stand under a smaller id: equal texts by their md5."""
     named = texts.where("length(text) > 0").select("id", "tag", F.unhex(F.md5("text")).alias("name"))
     least = named.groupBy("name").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
     return named.join(least, "name").where("id > least").select("id", "tag", F.lit(True).alias("copy")).distinct()

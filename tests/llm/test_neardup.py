@@ -76,3 +76,44 @@ def test_edge_cases(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
     kept = neardup.deduplicate(df)
     assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "None", "None"]
+
+
+def thue_morse(n):
+    """Two words that hash alike under any polynomial modulo 2**64."""
+    t = [bin(k).count("1") & 1 for k in range(n)]
+    return "".join("ab"[x] for x in t), "".join("ba"[x] for x in t)
+
+
+def test_words_that_polynomials_confuse(spark):
+    x, y = thue_morse(4096)
+    rest = " ".join(f"r{k}" for k in range(9))
+    docs = [(1, x), (2, y), (3, f"{x} {rest}"), (4, f"{y} {rest} {x}"), (5, x[:1024]), (6, y[:1024])]
+    got = run(spark, docs)
+    assert got == brute(docs) and len({r[2] for r in got}) == 6
+
+
+def test_an_id_repeated_with_other_texts(spark):
+    ws = [f"n{k}" for k in range(60)]
+    x, near, other = " ".join(ws), " ".join(ws[:-1] + ["z"]), " ".join(f"o{k}" for k in range(40))
+    for docs in ([(1, x), (5, near), (5, other)], [(3, x), (5, x), (5, other), (7, other)]):
+        assert {r[2] for r in run(spark, docs)} == {docs[0][0]}
+
+
+def test_recall_near_the_threshold(spark):
+    """Pairs of a similarity of 0.75 to 0.8 that share nothing else: every one is found, and none below."""
+    rng, docs, want = random.Random(9), [], set()
+    for k in range(1200):
+        ws = [f"p{k}x{j}" for j in range(64)]
+        cut = rng.randint(10, 17)  # the shingles of the first 64 - cut words are shared
+        docs += [(2 * k, " ".join(ws)), (2 * k + 1, " ".join(ws[: 64 - cut] + [f"q{k}x{j}" for j in range(rng.choice([0, 1, 2]))]))]
+        a, b = shingles(docs[-1][1]), shingles(docs[-2][1])
+        if 100 * len(a & b) >= 75 * len(a | b):
+            want.add(2 * k + 1)
+    got = {i for i, _, _, kept in run(spark, docs) if not kept}
+    assert got == want and 300 < len(want) < 1200
+
+
+def test_large_groups_are_compared_in_squares(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "GROUP", 3)
+    docs = corpus(5)
+    assert run(spark, docs) == brute(docs)

@@ -1,7 +1,7 @@
 """MinHash near-dedup with tensored banding.
 
 A document's set holds its distinct shingles of five lower-cased words (A-Z only); with fewer words the whole sequence is the one shingle. Equal
-sets form a class, and only classes are compared. Two small collections of half keys, each of a few min-hashes,
+sets (by 128 bits of hashes of all shingles) form a class with a number of its own, and only classes are compared. Two small collections of half keys, each of a few min-hashes,
 are computed per class; a table key combines one half key of each collection, so the keys of `halves` squared tables cost 2 * `halves` half keys.
 Two classes meet in some table if they share a half key of either collection: for a similarity of 0.75, two min-hashes
 a half key and 16 half keys a collection, all but 4 in a million do (1 - (1 - (1 - 0.75**2)**16)**2).
@@ -13,10 +13,10 @@ pair can have in common is bounded by the lesser count of such shared shingles;
 In each table key's bucket every class is confirmed against the bucket's least class by full sets; links make components. Where a
 bucket then still holds several components, the remaining pairs across them are confirmed too, unless their sizes, bitmaps of their sets
 (both exact bounds) or their min-hashes rule the similarity out (fewer than 27 of 64 equal has a chance of 1e-8 at 0.75). Pairs inside a
-component are never made. Joins and counts are by key with partial sums, so a hot key can be split by Spark; nothing is capped.
+component are never made. Nothing is capped: a bucket, a class or a centre of any size is spread over tasks by a hash of its members.
 
 Documents without words have no set and link with nothing; so do rows with a null id, whose component is null. Rows of one id count as one
-document. Other columns are carried along by `deduplicate`.
+document, whatever their texts; each of these is compared. Other columns are carried along by `deduplicate`.
 """
 
 from __future__ import annotations
@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm.shared import U64, Words, bounded_batches, cut, documents, drop, mix, steps, text_bytes
+from trackloom.llm.shared import U64, Words, bounded_batches, cut, documents, drop, fold, mix, spread_join, steps, text_bytes
 
 SHINGLE, HALVES, ROWS = 5, 16, 2
 SIGNATURE = 2 * HALVES * ROWS
 #: Of SIGNATURE min-hashes, so many must agree before two sets are compared; see above.
 LEAST_EQUAL = 27
+#: Classes of a half key that one task compares with as many others.
+GROUP = 2048
 #: Longs of the bitmap of a set.
 LONGS = 64
 _SEEDS = mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64))
@@ -50,8 +52,8 @@ def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
         elif n:
             short = np.array([n], np.uint64)
             for k in range(first, last):
-                short = mix(short * U64(0xA0761D6478BD642F) + w.hash[k : k + 1])
-            out.append(short)
+                short = fold(short, w.hash[k : k + 1])
+            out.append(mix(short))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -59,17 +61,18 @@ def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
 
 def _feature_rows(batches):
     for b in batches:
-        texts = text_bytes(b.column(1))
-        for i, j in steps(b.column(1)):
+        texts = text_bytes(b.column(2))
+        for i, j in steps(b.column(2)):
             sets = shingle_sets(texts[i:j])
             n = np.fromiter(map(len, sets), np.int64, len(sets))
             full = np.flatnonzero(n)
             signature = np.zeros((len(sets), SIGNATURE), np.int32)
-            kind = np.zeros(len(sets), np.uint64)
+            whole = np.zeros((2, len(sets)), np.uint64)
             if len(full):
                 every = np.concatenate([sets[k] for k in full])
                 at = np.concatenate(([0], np.cumsum(n[full])[:-1]))
-                kind[full] = mix(np.add.reduceat(mix(every ^ U64(0x2545F4914F6CDD1D)), at) + n[full].astype(np.uint64))
+                for k, seed in enumerate((0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47)):
+                    whole[k, full] = mix(np.add.reduceat(mix(every ^ U64(seed)), at) + n[full].astype(np.uint64))
                 small = (every >> U64(32)).astype(np.uint32) ^ every.astype(np.uint32)
                 for k in range(SIGNATURE):
                     v = (small ^ _XOR[k]) * _MULTIPLY[k]
@@ -77,12 +80,14 @@ def _feature_rows(batches):
                     v *= np.uint32(0x85EBCA6B)
                     signature[full, k] = np.minimum.reduceat(v, at).view(np.int32)
             flat = pa.FixedSizeListArray.from_arrays(pa.array(signature.ravel()), SIGNATURE).cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n), pa.array(kind.view(np.int64)), flat], ["id", "n", "kind", "signature"])
+            hashes = [pa.array(x.view(np.int64)) for x in whole]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(n), *hashes, flat], ["id", "t", "n", "p", "q", "signature"])
 
 
 def features(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, kind, signature): set size, hash of the set, min-hashes."""
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_feature_rows, "id long, n long, kind long, signature array<int>")
+    """(id, t, n, p, q, signature): hash of the text, set size, two hashes of the set, min-hashes."""
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_feature_rows, "id long, t long, n long, p long, q long, signature array<int>")
 
 
 def _linked_rows(percent: int):
@@ -120,7 +125,11 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Of pairs (x, y, x_id, y_id) of classes, the links (a, b) of ids whose full sets are similar enough."""
     mine = texts.select(F.col("kind").alias("x"), F.col("text").alias("x_text"))
     other = texts.select(F.col("kind").alias("y"), F.col("text").alias("y_text"))
-    both = pairs.join(mine, "x").join(other, "y").select("x", "y", "x_id", "y_id", "x_text", "y_text")
+    # a centre's text goes once to each task that compares with it; GROUP partners and more have several
+    tiles = pairs.groupBy("y").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("tiles"))
+    dealt = pairs.join(tiles.where("tiles > 1"), "y", "left").withColumn("tile", F.pmod(F.xxhash64("x"), F.coalesce("tiles", F.lit(1))).cast("int"))
+    centres = tiles.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("y", "tile").join(other, "y")
+    both = dealt.join(mine, "x").join(centres, ["y", "tile"]).select("x", "y", "x_id", "y_id", "x_text", "y_text")
     return both.mapInArrow(_linked_rows(percent), "a long, b long")
 
 
@@ -201,17 +210,27 @@ def _first_common(a: str, b: str, low: int, high: int) -> Column:
     return F.array_position(part, F.lit(True)) - 1 + low
 
 
+def _same_id(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): links of an id that stands in several classes (repeated with other texts) to the ids of all of them."""
+    placed = rows.where("n > 0 and id is not null").select("id", "p", "q")
+    several = placed.groupBy("id").agg(F.min("p").alias("p0"), F.max("p").alias("p1"), F.min("q").alias("q0"), F.max("q").alias("q1")).where("p0 < p1 or q0 < q1")
+    found = placed.join(several.select("id"), "id").distinct().join(classes.select("p", "q", F.col("id").alias("b")), ["p", "q"])
+    return found.select(F.col("id").alias("a"), "b")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of df."""
     bounded_batches(df.sparkSession)
     rows = cut(features(df, id_col, text_col))
-    classes = cut(rows.where("n > 0 and id is not null").groupBy("kind").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature")))
+    classes = rows.where("n > 0 and id is not null").groupBy("p", "q").agg(F.min(F.struct("id", "t")).alias("least"), F.first("n").alias("n"), F.first("signature").alias("signature"))
+    # the numbers stand in a written table, so they don't change when a task runs again
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("kind"), "least.id", "least.t", "n", "p", "q", "signature"))
     keys = cut(table_keys(classes))
     several = keys.groupBy("table").agg(F.min("kind").alias("p"), F.max("kind").alias("q")).where("p < q").select("table")
     met = keys.join(several, "table").select("kind").distinct()
-    # a class's text is that of a row with its least id
-    ids = classes.join(met, "kind").select(F.col("id").alias("i"), "kind")
-    texts = df.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("text")).where("i is not null and text is not null").join(ids, "i")
+    # a class's text is that of the row it got its id from
+    wanted = classes.join(met, "kind").select("id", "t", "kind")
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).where("id is not null and text is not null").join(wanted, ["id", "t"])
     texts = cut(texts.groupBy("kind").agg(F.max("text").alias("text")))
     # a class with too many shingles of its own is near to no other
     able = shared_counts(texts, classes).join(classes.select("kind", "n"), "kind").where(F.col("s") * 100 >= F.col("n") * percent).select("kind", "s")
@@ -219,10 +238,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keyed = keys.join(able, "kind")
     member = F.struct("id", "kind", "n", "s")
     buckets = keyed.groupBy("table").agg(F.min(member).alias("least"), F.max(member).alias("most")).where("least < most")
-    in_bucket = cut(keyed.join(buckets.select("table", "least"), "table"))
+    in_bucket = cut(spread_join(keyed, buckets.select("table", "least"), ["table"], ["kind"]))
     star = in_bucket.where(F.col("kind") != F.col("least.kind")).where(_possible("", "least.", percent))
     star = star.select(F.col("kind").alias("x"), F.col("least.kind").alias("y"), F.col("id").alias("x_id"), F.col("least.id").alias("y_id")).distinct()
-    links = cut(confirm(star, texts, percent))
+    links = cut(confirm(star, texts, percent).union(_same_id(rows, classes)))
     found = components(links)
     # classes in buckets that hold several components meet again, in the first half key that a pair shares, if it also shares one of the second collection
     mine = in_bucket.join(found.withColumnRenamed("least", "part"), in_bucket.id == found.v, "left")
@@ -232,11 +251,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bitmaps = texts.join(alone.select("kind"), "kind").mapInArrow(_bitmap_rows, "kind long, bits array<long>, ones long")
     rest = cut(alone.join(classes.select("kind", "signature"), "kind").withColumn("halves", _half_keys()).join(bitmaps, "kind"))
     halves = rest.select("*", F.posexplode(F.slice("halves", 1, HALVES)).alias("i", "h"))
-    a, b = halves.alias("a"), halves.alias("b")
+    # a half key of many classes is met in squares of GROUP by GROUP of them
+    tiles = halves.groupBy("h").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("tiles")).where("tiles > 1")
+    halves = halves.join(tiles, "h", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    own = F.pmod(F.xxhash64("kind"), F.col("tiles")).cast("int")
+    a = halves.withColumn("u", own).withColumn("v", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).alias("a")
+    b = halves.withColumn("v", own).withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).alias("b")
     equal = F.aggregate(F.zip_with("a.signature", "b.signature", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     once = _first_common("a.halves", "b.halves", 0, HALVES) == F.col("a.i")
     second = F.arrays_overlap(F.slice("a.halves", HALVES + 1, HALVES), F.slice("b.halves", HALVES + 1, HALVES))
-    apart = (F.col("a.h") == F.col("b.h")) & (F.col("a.kind") < F.col("b.kind")) & (F.col("a.part") != F.col("b.part"))
+    apart = (F.col("a.h") == F.col("b.h")) & (F.col("a.u") == F.col("b.u")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.kind") < F.col("b.kind")) & (F.col("a.part") != F.col("b.part"))
     across = a.join(b, apart & _possible("a.", "b.", percent) & _overlap_possible("a.", "b.", percent) & once & second & (equal >= LEAST_EQUAL))
     across = across.select(F.col("a.kind").alias("x"), F.col("b.kind").alias("y"), F.col("a.id").alias("x_id"), F.col("b.id").alias("y_id")).distinct()
     more = cut(confirm(across, texts, percent))
@@ -244,8 +268,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         drop(found)
         found = components(links.union(more))
     drop(keys, texts, able, in_bucket, links, alone, rest, more)
-    named = classes.select("kind", F.col("id").alias("v")).join(found, "v", "left").select("kind", F.coalesce("least", "v").alias("component"))
-    out = cut(rows.select("id", "n", "kind").join(named, "kind", "left").select("id", "n", "component"))
+    named = classes.select("p", "q", F.col("id").alias("v")).join(found, "v", "left").select("p", "q", F.coalesce("least", "v").alias("component"))
+    out = cut(spread_join(rows.select("id", "n", "p", "q"), named, ["p", "q"], ["id"], "left").select("id", "n", "component"))
     drop(rows, classes, found)
     component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")))
     return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -13,6 +13,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,10 +30,12 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests, one machine) a temporary one is set."""
+    """The folder of spark.checkpoint.dir; where it is unset a temporary one is set, on a local master only, as no other executor could read it."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or getattr(sc, "_trackloom_dir", None)
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="trackloom-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         sc._trackloom_dir = found
@@ -87,33 +90,36 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _bytes_table(lower: bool) -> np.ndarray:
-    at = np.arange(256)
-    if lower:
-        at[65:91] += 32
-    return mix((at.astype(np.uint64) + U64(1)) * U64(0x9E3779B97F4A7C15))
-
-
-_TABLES = {False: _bytes_table(False), True: _bytes_table(True)}
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = U64(0xD6E8FEB86659FD93)
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def powers(base: int, n: int, name: str) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept and extended by need."""
-    have = _POWERS.get(name)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), U64(base))
-        have[0] = 1
-        with np.errstate(over="ignore"):
-            have = np.cumprod(have, dtype=np.uint64)
-        _POWERS[name] = have
-    return have[:n]
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Bytes of a word that are hashed side by side with those of other words; longer words are hashed one by one.
+LONG_WORD = 128
+
+
+def hash_spans(buf: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each buf[start:end]: eight bytes a step, each step a bijection of the hash so far. buf needs eight bytes behind the last span."""
+    # every eight bytes of the buffer as a number, without a copy
+    eights = np.ndarray((max(len(buf) - 7, 0),), "<u8", buf, 0, (1,))
+    size = end - start
+    h = mix(size.astype(np.uint64) + U64(0x9E3779B97F4A7C15))
+    short = np.flatnonzero(size <= LONG_WORD)
+    at, left = start[short], size[short]
+    while len(short):
+        ends = left < 8
+        mask = np.where(ends, (U64(1) << (U64(8) * np.minimum(left, 7).astype(np.uint64))) - U64(1), ~U64(0))
+        h[short] = mix((h[short] ^ (eights[at] & mask)) * U64(0xD6E8FEB86659FD93))
+        more = left > 8
+        short, at, left = short[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(buf[start[k] : end[k]])
+    return h
 
 
-_INVERSE = pow(int(_BASE), -1, 1 << 64)
+def fold(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The hash of a sequence h with x behind it; not linear, so no arrangement of words makes sequences meet."""
+    h = (h ^ x) * U64(0xA0761D6478BD642F)
+    return h ^ (h >> U64(29))
 
 
 def steps(column: pa.Array, most: int = STEP_BYTES):
@@ -132,7 +138,7 @@ class Words:
     """Words of a slice of texts: `hash` per word, `doc` (row in the slice) per word, `first`/`last` word of each row. A space must be a separator."""
 
     def __init__(self, texts: list[bytes | None], lower: bool = False, spans: bool = False, separators: np.ndarray = _SPACE):
-        buf = b" " + b" ".join(t or b"" for t in texts) + b" "
+        buf = b" " + b" ".join(t or b"" for t in texts) + b" " * 9
         raw = np.frombuffer(buf, np.uint8)
         space = separators[raw]
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
@@ -142,10 +148,7 @@ class Words:
         bounds = np.searchsorted(start, offset)
         self.first, self.last = bounds[:-1], bounds[1:]
         self.doc = np.repeat(np.arange(len(texts)), self.last - self.first)
-        # a polynomial over mapped bytes, from differences of running sums, moved to position 0 by the inverse of the base
-        run = np.concatenate(([U64(0)], np.cumsum(_TABLES[lower][raw] * powers(int(_BASE), len(raw), "up"), dtype=np.uint64)))
-        h = (run[end] - run[start]) * powers(_INVERSE, len(raw), "down")[start]
-        self.hash = mix(h + (end - start).astype(np.uint64))
+        self.hash = hash_spans(buf.translate(_LOWER) if lower else buf, start, end)
         if spans:
             self.raw, self.start, self.end = buf, start, end
 
@@ -155,9 +158,9 @@ class Words:
         ok = np.zeros(n, bool)
         if n < k:
             return np.zeros(n, np.uint64), ok
-        h = np.zeros(n - k + 1, np.uint64)
+        h = np.full(n - k + 1, U64(k))
         for j in range(k):
-            h = h * U64(0xA0761D6478BD642F) + self.hash[j : n - k + 1 + j]
+            h = fold(h, self.hash[j : n - k + 1 + j])
         ok[: n - k + 1] = self.doc[: n - k + 1] == self.doc[k - 1 :]
         return np.concatenate((mix(h + U64(seed)), np.zeros(k - 1, np.uint64))), ok
 
@@ -166,6 +169,13 @@ def text_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-def salted(n: int):
-    """A column that spreads rows of one key over n groups, by the row's other values, not by chance."""
-    return lambda *cols: F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
+def spread_join(rows: DataFrame, few: DataFrame, by: list[str], spread: list[str], how: str = "inner") -> DataFrame:
+    """rows joined to `few`, which has a row a key. A key of any number of rows is spread over tasks by a hash of other columns; what `few` says
+    of it goes to each of them once."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(partitions(rows.sparkSession))).cast("int"))
+    return salted.join(salted.select(*by, "_salt").distinct().join(few, by), [*by, "_salt"], how).drop("_salt")
+
+
+def with_facts(rows: DataFrame, by: list[str], spread: list[str], **facts: tuple[str, str]) -> DataFrame:
+    """rows with facts of their groups (name = (min, max or sum, column)), groups of any size spread over tasks."""
+    return spread_join(rows, rows.groupBy(*by).agg(*(getattr(F, f)(c).alias(name) for name, (f, c) in facts.items())), by, spread)

@@ -4,18 +4,26 @@ A text's words are its first symbols. Each round names maximal runs of a symbol
 of the alphabet followed by one of the right half); a name is a hash of what it stands for, so every task gives
 equal things equal names without a shared dictionary. What a symbol depends on is tracked as a span of words (those of the symbols that decided it): wherever these words
 occur, in any document, the same symbol stands in the same place and depends on the same span. So equal substrings share their interior symbols.
+Rounds go on until no window can hold a settled symbol of the next level.
 
-Search: of every window of words, the symbol of the highest round that is settled by a few words around its start
-becomes the window's anchor (ties by name). Equal windows choose equal anchors, and one anchor serves several windows, so far fewer rows
-than windows are shuffled. Only where an anchor's words occur in two documents are the windows around it named and
-compared, each by a hash of all its words; this verifies the repeats exactly, up to collisions of 64-bit names.
+The name of a stretch of words is made of its symbols: those of the highest level that the stretch settles, and on either side of them, level by level
+down to words, those that complete it. Equal stretches have equal symbols at every level, so equal names; and the symbols spell the words, so equal names are
+equal stretches, up to collisions of hashes. Two Spark rounds name stretches globally:
+
+1. Of every window of words, the symbol of the highest level that is settled by a few words around its start becomes the window's anchor (ties by name).
+   Equal windows choose equal anchors, and one anchor serves several windows, so far fewer rows than windows are shuffled. The name of the stretch that
+   settles an anchor, where two documents share it, reveals that the windows around it may be repeats.
+2. Only these windows are named, from the symbols that they settle; 96 bits of a shared name verify a repeat.
+
+A name's rows are one a document at most. Names that several documents of a step share are settled in the task already: only the least document (round 2) or a
+probe (round 1) goes to the name's own task, and a task remembers frequent names, so a passage in a third of all documents sends a few rows a task there.
 
 Texts that are equal as a whole are found by their md5; all but the first of such copies take no part in the search and lose every
 word (if they have a window at all).
 
 A word goes if a window that covers it also starts in a document with a smaller id. Null and empty texts have no words;
 texts under one window lose nothing; a null id counts as larger than all; rows of one id never remove each other's words.
-Repeated rows get equal results. Other columns are carried along.
+Repeated rows get equal results. Other columns are carried along; one that has a result's name is carried as `<name>_in`.
 """
 
 from __future__ import annotations
@@ -25,21 +33,23 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from trackloom.llm.shared import U64, Words, bounded_batches, documents, mix, partitions, steps, text_bytes
+from trackloom.llm.shared import U64, Words, bounded_batches, documents, fold, mix, partitions, steps, text_bytes, with_facts
 
-#: Words before and after an anchor's start that settle its symbol; rounds of naming.
-BEFORE, AFTER, ROUNDS = 3, 5, 2
+#: Words before and after an anchor's start that settle its symbol; the level above which all symbols rank alike.
+BEFORE, AFTER, TOP = 3, 5, 3
 #: Bits of a mask of windows; a place stands above them in 64 bits.
 MASK = 31
 _FAR = 1 << 30
+#: Names that a task remembers, and in how many documents of a step a name must stand for that.
+REMEMBERED, FREQUENT = 1 << 16, 4
 
 
 def name_round(name, begin, end, low, high, doc):
-    """Names the runs and then the pairs of a sequence of symbols. low, high: the span of words that settles a symbol."""
+    """Names the runs and then the pairs of a sequence of symbols. low, high: the span of words that settles a symbol. Also: each new symbol's first and last part."""
     new = np.ones(len(name), bool)
     new[1:] = (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
@@ -69,9 +79,9 @@ def name_round(name, begin, end, low, high, doc):
     high = np.where(alone, np.maximum(high, before[1]), np.where(other, np.maximum(high, after[1]), high))
     at = np.flatnonzero(joined)
     run[at] = mix(run[at] * U64(0xC2B2AE3D27D4EB4F) + (run[at + 1] ^ U64(0x165667B19E3779F9)))
-    end[at] = end[at + 1]
+    end[at], last[at] = end[at + 1], last[at + 1]
     keep = ~second
-    return run[keep], begin[keep], end[keep], low[keep], high[keep], doc[keep]
+    return run[keep], begin[keep], end[keep], low[keep], high[keep], doc[keep], first[keep], last[keep]
 
 
 def _left(low, high, same):
@@ -87,29 +97,72 @@ def _right(low, high, same):
     return a, b
 
 
-def order_keys(words: Words) -> np.ndarray:
-    """For each word the name of the highest settled symbol that starts there; higher rounds sort first."""
-    n = len(words.hash)
-    at = np.arange(n, dtype=np.int32)
-    keys = (U64(ROUNDS) << U64(62)) | (words.hash >> U64(2))
-    symbols = (words.hash, at, at + np.int32(1), at.copy(), at + np.int32(1), words.doc)
-    for k in range(1, ROUNDS + 1):
-        symbols = name_round(*symbols)
-        name, begin, _, low, high, _ = symbols
+class Levels:
+    """All levels whose symbols a stretch of `widest` words can settle: (name, begin, low, high, first part, last part) of each symbol.
+
+    Spans that no text settles end one word outside their text, so low and high never fall along a level.
+    """
+
+    def __init__(self, words: Words, widest: int):
+        at = np.arange(len(words.hash), dtype=np.int32)
+        symbols = (words.hash, at, at + np.int32(1), at, at + np.int32(1), words.doc, at, at)
+        self.levels = []
+        while len(at):
+            name, begin, _, low, high, doc, first, last = symbols
+            low, high = np.maximum(low, words.first[doc] - 1), np.minimum(high, words.last[doc] + 1)
+            if not ((low >= words.first[doc]) & (high <= words.last[doc]) & (high - low <= widest)).any():
+                break
+            self.levels.append((name, begin, low, high, first, last))
+            symbols = name_round(*symbols[:6])
+
+    def names(self, start: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, symbols) of the stretches of `width` words from each start on: what its symbols are hashed to, and how many they are."""
+        found, count = np.zeros(len(start), np.uint64), np.zeros(len(start), np.int64)
+        left, right = np.full(len(start), U64(width)), np.full(len(start), U64(0x589965CC75374CC3))
+        open_, start = np.arange(len(start)), start.copy()
+        a, b = start, start + width
+        for k, (name, *_) in enumerate(self.levels):
+            inside = np.zeros(len(open_), bool)
+            until, since = b, b
+            if k + 1 < len(self.levels):
+                _, _, low, high, first, last = self.levels[k + 1]
+                up, down = np.searchsorted(low, start), np.searchsorted(high, start + width, "right")
+                inside = up < down
+                until, since = b.copy(), b.copy()
+                until[inside], since[inside] = first[up[inside]], last[down[inside] - 1] + 1
+            for h, at, end, step in ((left, a, until, 1), (right, b - 1, since - 1, -1)):
+                at, which = at.copy(), np.flatnonzero(at != end)
+                count[open_] += np.abs(end - at)
+                while len(which):
+                    h[open_[which]] = fold(h[open_[which]], name[at[which]])
+                    at[which] += step
+                    which = which[at[which] != end[which]]
+            if not inside.any():
+                break
+            open_, start, a, b = open_[inside], start[inside], up[inside], down[inside]
+        found[:] = mix(left ^ mix(right))
+        return found, count
+
+
+def order_keys(words: Words, levels: Levels) -> np.ndarray:
+    """For each word the name of the highest settled symbol that starts there; higher levels sort first."""
+    keys = np.zeros(len(words.hash), np.uint64)
+    for k, (name, begin, low, high, _, _) in enumerate(levels.levels):
         settled = (low >= begin - BEFORE) & (high <= begin + AFTER)
-        keys[begin[settled]] = (U64(ROUNDS - k) << U64(62)) | (name[settled] >> U64(2))
+        keys[begin[settled]] = (U64(max(0, TOP - k)) << U64(62)) | (name[settled] >> U64(2))
     return keys
 
 
 def anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, hash, mask): the chosen anchors' places, the hash of the words that settle them, and a bit for each window that chose them:
+    """(place, name, mask): the chosen anchors' places, the name of the stretch that settles them, and a bit for each window that chose them:
     bit d for the window that starts BEFORE + d words before the place. Windows farther before the anchor than MASK bits tell have rows with
     a place so much earlier."""
     n = len(words.hash)
     if n < window:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    keys = order_keys(words)
     size = BEFORE + AFTER
+    levels = Levels(words, size)
+    keys = order_keys(words, levels)
     width = window - size + 1  # an anchor may start at window start + BEFORE .. + BEFORE + width - 1
     least, span = keys, 1
     while span < width:
@@ -118,7 +171,6 @@ def anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
         span += step
     m = n - window + 1
     windows = words.doc[:m] == words.doc[window - 1 :]
-    grams, _ = words.grams(size)
     out = []
     for far in range(0, width, MASK):
         chosen = np.zeros(n, np.int64)
@@ -126,7 +178,7 @@ def anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
             hit = windows & (least[BEFORE : BEFORE + m] == keys[BEFORE + d : BEFORE + d + m])
             chosen[BEFORE + d : BEFORE + d + m] |= hit.astype(np.int64) << (d - far)
         at = np.flatnonzero(chosen)
-        out.append((at - far, grams[at - BEFORE], chosen[at]))
+        out.append((at - far, levels.names(at - BEFORE, size)[0], chosen[at]))
     at, h, mask = (np.concatenate(x) for x in zip(*out))
     return at, h, mask
 
@@ -143,17 +195,72 @@ def _unpacked(column: pa.Array) -> pa.Array:
     return pa.array([None if z is None else unpack.decompress(z) for z in column.to_pylist()], pa.binary())
 
 
-def _rows(row, h, at, ids, tags):
-    """One row a name and document, however often the name stands there: its places are packed as 64-bit integers."""
-    order = np.lexsort((h, row))
-    row, h, at = row[order], h[order], at[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    first = np.flatnonzero(new)
-    offsets = (np.append(first, len(h)) * 8).astype(np.int32)
-    places = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(at.astype("<i8").tobytes())])
-    row = row[first]
-    return pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(ids[row]), pa.array(tags[row]), places], ["h", "id", "tag", "at"])
+class Meeting:
+    """What a task knows of the names that its documents share: rows (key, id, tag, at, check) for the rest to be found, one a name and document,
+    however often the name stands there (its places are packed as 64-bit integers).
+
+    A row that needs no more finding is `sure`: its tag has the sign bit, and its key is any spread one. Where `later`, it is sure if a smaller id of the
+    task has the name; else, if another id has. A name that is shared here sends one row without places as a probe to its own task.
+    """
+
+    NAMES = ["key", "id", "tag", "at", "check"]
+    SCHEMA = "key long, id long, tag int, at binary, check int"
+
+    def __init__(self, later: bool):
+        self.later = later
+        self.names, self.checks, self.least = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def _known(self, h, check):
+        """(found, least id) of names in the memory."""
+        if not len(self.names):
+            return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
+        at = np.minimum(np.searchsorted(self.names, h), len(self.names) - 1)
+        return (self.names[at] == h) & (self.checks[at] == check), self.least[at]
+
+    def _remember(self, h, check, least):
+        if len(h):
+            h, check, least = (np.concatenate(x) for x in ((self.names, h), (self.checks, check), (self.least, least)))
+            order = np.lexsort((least, check, h))
+            h, check, least = h[order], check[order], least[order]
+            new = np.ones(len(h), bool)
+            new[1:] = h[1:] != h[:-1]
+            # a memory only: what is forgotten is found by way of the name's task
+            self.names, self.checks, self.least = (x[new][:REMEMBERED] for x in (h, check, least))
+
+    def rows(self, row, h, at, ids, tags, check=None) -> pa.RecordBatch:
+        check = np.zeros(len(h), np.int32) if check is None else check
+        order = np.lexsort((row, check, h))
+        row, h, at, check = row[order], h[order], at[order], check[order]
+        name = np.ones(len(h), bool)
+        name[1:] = (h[1:] != h[:-1]) | (check[1:] != check[:-1])
+        new = name.copy()
+        new[1:] |= row[1:] != row[:-1]
+        first = np.flatnonzero(new)
+        offsets = np.append(first, len(h)) * 8
+        h, check, row, name = h[first], check[first], row[first], np.flatnonzero(name[first])
+        mine, tag = ids[row], tags[row].astype(np.int32)
+        sure, probes = np.zeros(len(h), bool), np.zeros(0, np.int64)
+        if len(h):
+            size = np.diff(np.append(name, len(h)))
+            least, most = np.minimum.reduceat(mine, name), np.maximum.reduceat(mine, name)
+            known, before = self._known(h[name], check[name])
+            if self.later:
+                sure = mine > np.repeat(np.where(known, np.minimum(least, before), least), size)
+            else:
+                shared = (least < most) | (known & ((before != least) | (before != most)))
+                sure = np.repeat(shared, size)
+                probes = name[shared & ~known]
+            hot = size >= FREQUENT if self.later else (size >= FREQUENT) & (least < most)
+            self._remember(h[name][hot], check[name][hot], least[hot])
+        key = np.where(sure, mix(mine.view(np.uint64) ^ tag.astype(np.uint64)), h)
+        tag = np.where(sure, tag | np.int32(-(1 << 31)), tag)
+        data = at.astype("<i8").tobytes()
+        places = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data)])
+        columns = [pa.array(key.view(np.int64)), pa.array(mine), pa.array(tag), places, pa.array(check)]
+        if len(probes):
+            extra = [pa.array(h[probes].view(np.int64)), pa.array(mine[probes]), pa.array(tag[probes] & np.int32((1 << 31) - 1)), pa.array([b""] * len(probes), pa.binary()), pa.array(check[probes])]
+            columns = [pa.concat_arrays(x) for x in zip(columns, extra)]
+        return pa.RecordBatch.from_arrays(columns, self.NAMES)
 
 
 def _places(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,43 +279,55 @@ def _width(window: int) -> int:
 
 
 def _anchor_rows(window: int):
-    """(hash, id, tag, at): at is the anchor's place and, in its low bits, the mask of the windows that chose it."""
+    """Rows of the anchors' names: a place in `at` has, in its low bits, the mask of the windows that chose the anchor."""
     width = _width(window)
 
     def run(batches):
+        meeting = Meeting(False)
         for b in batches:
             ids, tags, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), _unpacked(b.column(2))
             for i, j in steps(texts):
                 w = Words(texts.slice(i, j - i).to_pylist())
                 at, h, mask = anchors(w, window)
                 row = w.doc[at]
-                yield _rows(row, h, (at - w.first[row]) << width | mask, ids[i:j], tags[i:j])
+                yield meeting.rows(row, h, (at - w.first[row]) << width | mask, ids[i:j], tags[i:j])
 
     return run
 
 
 def _window_rows(window: int):
-    """The windows that chose a shared anchor: (hash of all words, id, tag, start)."""
+    """Rows of the names of the windows that chose a shared anchor; a place is a window's start."""
     width = _width(window)
 
     def run(batches):
+        meeting = Meeting(True)
         for b in batches:
             ids, tags, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), _unpacked(b.column(2))
             for i, j in steps(texts):
                 w = Words(texts.slice(i, j - i).to_pylist())
-                h, ok = w.grams(window)
                 held, many = _places(b.column(3).slice(i, j - i))
                 at = (held >> width) + np.repeat(w.first, many)
                 mine = np.zeros(len(w.hash), bool)
                 for d in range(width):
                     mine[at[(held >> d & 1).astype(bool)] - BEFORE - d] = True
-                start = np.flatnonzero(mine & ok)
+                start = np.flatnonzero(mine)
                 row = w.doc[start]
-                yield _rows(row, h[start], start - w.first[row], ids[i:j], tags[i:j])
+                inside = start + window <= w.last[row]
+                start, row = start[inside], row[inside]
+                h, _ = Levels(w, window).names(start, window)
+                yield meeting.rows(row, h, start - w.first[row], ids[i:j], tags[i:j], check_bits(w, start, window))
 
     return run
 
 
+def check_bits(words: Words, start: np.ndarray, width: int) -> np.ndarray:
+    """32 more bits of a stretch's name, from its words."""
+    h = np.full(len(start), U64(0x2545F4914F6CDD1D))
+    for k in range(width):
+        h = fold(h, words.hash[start + k])
+    return (mix(h) >> U64(33)).astype(np.int32)
+
+
 def _kept_rows(window: int, names: list[str], digest: bool):
     def run(batches):
         for b in batches:
@@ -234,30 +353,26 @@ def _kept_rows(window: int, names: list[str], digest: bool):
     return run
 
 
-def _shared(rows: DataFrame, strictly_later: bool) -> DataFrame:
-    """Of rows (h, id, tag, at): (id, tag, at list) of those whose h occurs under two ids, or under a smaller id.
-
-    A document gives one row a name, so a name has as many rows as documents at most. Both uses read one exchange by h: the columns and the filters of both are the same on purpose. The ids of a name are never gathered: only their
-    least and greatest are kept.
-    """
-    rows = rows.where("h is not null and id is not null and tag is not null").repartition(partitions(rows.sparkSession), "h")
-    found = rows.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.max("tag").alias("tags"), F.max("at").alias("ats"))
-    found = found.where("least < most and tags >= 0 and ats is not null").select(F.col("h").alias("g"), "least")
-    hit = rows.join(found.hint("shuffle_hash"), F.col("h") == F.col("g"))
-    return hit.where("id > least" if strictly_later else "true").groupBy("id", "tag").agg(F.collect_list("at").alias("at"))
+def _shared(rows: DataFrame, later: bool) -> DataFrame:
+    """(id, tag, at list) of the sure rows and of those whose name stands under two ids or, if `later`, under a smaller id. A name's ids are never gathered."""
+    w = Window.partitionBy("key", "check")
+    met = rows.repartition(partitions(rows.sparkSession), "key").withColumn("least", F.min("id").over(w)).withColumn("most", F.max("id").over(w))
+    found = met.where((F.col("tag") < 0) | ((F.length("at") > 0) & (F.col("id") > F.col("least") if later else F.col("least") < F.col("most"))))
+    return found.groupBy("id", F.col("tag").bitwiseAND(F.lit((1 << 31) - 1)).alias("tag")).agg(F.collect_list("at").alias("at"))
 
 
 def _copies(texts: DataFrame) -> DataFrame:
     """(id, tag) of texts that also stand under a smaller id: equal texts by their md5."""
     named = texts.where("length(text) > 0").select("id", "tag", F.unhex(F.md5("text")).alias("name"))
-    least = named.groupBy("name").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
-    return named.join(least, "name").where("id > least").select("id", "tag", F.lit(True).alias("copy")).distinct()
+    copies = with_facts(named, ["name"], ["id", "tag"], least=("min", "id")).where("id > least")
+    return copies.select("id", "tag", F.lit(True).alias("copy")).distinct()
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, digest: bool = False) -> DataFrame:
     """df's columns (with digest only the id) with `kept` (the remaining words joined by one space; with digest their SHA-256), `n_words` and `n_removed`."""
-    own = df.columns if not digest else [id_col]
-    return _deduplicated(df, id_col, text_col, window, digest).toDF(*own, "kept", "n_words", "n_removed")
+    results = ["kept", "n_words", "n_removed"]
+    own = [f"{c}_in" if c in results else c for c in (df.columns if not digest else [id_col])]
+    return _deduplicated(df, id_col, text_col, window, digest).toDF(*own, *results)
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", window: int = 13) -> DataFrame:
@@ -272,8 +387,8 @@ def _deduplicated(df: DataFrame, id_col: str, text_col: str, window: int, digest
     spark = df.sparkSession
     bounded_batches(spark)
     n = partitions(spark)
-    # rows of one id are told apart by 20 bits of their text's hash
-    identity = [F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.shiftrightunsigned(F.xxhash64(text_col), 44).cast("int").alias("tag"), F.col(text_col).alias("text")]
+    # rows of one id are told apart by 31 bits of their text's hash
+    identity = [F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.shiftrightunsigned(F.xxhash64(text_col), 33).cast("int").alias("tag"), F.col(text_col).alias("text")]
     rest = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(df.columns)] if not digest else [F.col(id_col).alias("c0")]
     every = ["id", "tag", "text", "at", *(f"c{k}" for k in range(len(rest)))]
     source = df.select(*identity, *rest)
@@ -282,9 +397,9 @@ def _deduplicated(df: DataFrame, id_col: str, text_col: str, window: int, digest
     moved = source.mapInArrow(_packed_rows, packed).where("id is not null and tag is not null").repartition(n, "id", "tag")
     whole = moved.join(_copies(source).hint("shuffle_hash"), ["id", "tag"], "left")
     first = whole.where("copy is null").withColumn("at", F.lit(None).cast("array<binary>")).select(*every)
-    found = _shared(first.mapInArrow(_anchor_rows(window), "h long, id long, tag int, at binary"), False)
+    found = _shared(first.mapInArrow(_anchor_rows(window), Meeting.SCHEMA), False)
     second = moved.join(found.hint("shuffle_hash"), ["id", "tag"]).select(*every)
-    repeats = _shared(second.mapInArrow(_window_rows(window), "h long, id long, tag int, at binary"), True)
+    repeats = _shared(second.mapInArrow(_window_rows(window), Meeting.SCHEMA), True)
     third = whole.join(repeats.hint("shuffle_hash"), ["id", "tag"], "left").select(*every, "copy")
     kept = [("kept", "string"), ("n_words", "bigint"), ("n_removed", "bigint")]
     names = [*(c for c, _ in kept), *every[4:]]

@@ -27,16 +27,16 @@ LARGE = 1 / 16
 _LAST = (1 << 63) - 1
 
 
-def _sample(rows: DataFrame, unit: float, salt: int) -> list:
+def sample(rows: DataFrame, unit: float, salt: int) -> list:
     """Keys drawn with a chance of size / unit, at most 1; each stands for max(size, unit) bytes."""
     chance = F.least(F.col("size") / F.lit(float(max(unit, 1))), F.lit(1.0))
     drawn = F.pmod(F.xxhash64("h", "tie", F.lit(salt)), F.lit(1 << 30)) < chance * (1 << 30)
     return rows.where(drawn).select("h", "tie", F.greatest(F.col("size").cast("double"), F.lit(float(unit))).alias("w")).collect()
 
 
-def _quantiles(sample: list, target: float) -> list[tuple[int, int]]:
+def quantiles(drawn: list, target: float) -> list[tuple[int, int]]:
     out, total, edge = [], 0.0, target
-    for r in sorted(sample):
+    for r in sorted(drawn):
         if total >= edge:
             out.append((r.h, r.tie))
             edge = total + target
@@ -67,7 +67,7 @@ def plan(rows: DataFrame, shards: int) -> tuple[list, list[int], list[int]]:
     """(splitters, shard of each range, first slot of each range)."""
     total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     target = total / (shards * RANGES)
-    raw = _quantiles(_sample(rows, target / SAMPLES, 0), target) if n else []
+    raw = quantiles(sample(rows, target / SAMPLES, 0), target) if n else []
     splitters = _snapped(raw)
     counted = _counted(rows, splitters)
     for k in range(1, ROUNDS):
@@ -75,7 +75,7 @@ def plan(rows: DataFrame, shards: int) -> tuple[list, list[int], list[int]]:
         if not full:
             break
         inside = rows.where(F.array_contains(longs(full), range_of(F.col("h"), F.col("tie"), splitters).cast("bigint")))
-        raw = sorted({*raw, *_quantiles(_sample(inside, target / (4 * SAMPLES), k), target)})
+        raw = sorted({*raw, *quantiles(sample(inside, target / (4 * SAMPLES), k), target)})
         splitters = _snapped(raw)
         counted = _counted(rows, splitters)
     by_range = {r.range: r for r in counted}

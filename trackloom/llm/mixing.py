@@ -1,6 +1,6 @@
 """Mixing sources to target weights: temperature mixing realised as budgeted block permutations.
 
-A source's share of the tokens (words) is raised to an exponent and normalised. The exponent is found by bisection: the least one (the flattest mixture) that
+A source's share of the tokens (words; letters where a script has no spaces) is raised to an exponent and normalised. The exponent is found by bisection: the least one (the flattest mixture) that
 repeats no source more than `repeats` times, or the one whose mixture has a given entropy. The budget is such that the source that is
 cut most is still drawn once in full, unless a budget in tokens is given; so by default no document is left out and the others are repeated.
 
@@ -62,8 +62,13 @@ def exponent(sizes: dict[str, float], repeats: float | None, target: float | Non
     return high
 
 
+#: Letters of scripts that are written without spaces: Thai to Tibetan, Burmese, Khmer, kana, Han. Each counts as a token.
+UNSPACED = r"\u0E00-\u0FFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF"
+
+
 def words(text: str) -> Column:
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    """Tokens of a text: letters of unspaced scripts, and runs of anything else but spaces."""
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(rf"[{UNSPACED}]|[^\x20\x09-\x0D{UNSPACED}]+")), F.lit(0)).cast("long")
 
 
 def _hash(*parts) -> Column:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from trackloom.llm.shared import U64, Words, bounded_batches, documents, fold, mix, partitions, steps, text_bytes, with_facts
+from trackloom.llm.shared import U64, Words, bounded_batches, cut, documents, fold, mix, partitions, steps, text_bytes, with_facts
 
 #: Words before and after an anchor's start that settle its symbol; the level above which all symbols rank alike.
 BEFORE, AFTER, TOP = 3, 5, 3
@@ -256,7 +256,8 @@ class Meeting:
         tag = np.where(sure, tag | np.int32(-(1 << 31)), tag)
         data = at.astype("<i8").tobytes()
         places = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data)])
-        columns = [pa.array(key.view(np.int64)), pa.array(mine), pa.array(tag), places, pa.array(check)]
+        by_document = pa.array(np.argsort(row, kind="stable"))  # a document's rows side by side take less room
+        columns = [x.take(by_document) for x in (pa.array(key.view(np.int64)), pa.array(mine), pa.array(tag), places, pa.array(check))]
         if len(probes):
             extra = [pa.array(h[probes].view(np.int64)), pa.array(mine[probes]), pa.array(tag[probes] & np.int32((1 << 31) - 1)), pa.array([b""] * len(probes), pa.binary()), pa.array(check[probes])]
             columns = [pa.concat_arrays(x) for x in zip(columns, extra)]
@@ -387,11 +388,15 @@ def _deduplicated(df: DataFrame, id_col: str, text_col: str, window: int, digest
     spark = df.sparkSession
     bounded_batches(spark)
     n = partitions(spark)
-    # rows of one id are told apart by 31 bits of their text's hash
-    identity = [F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.shiftrightunsigned(F.xxhash64(text_col), 33).cast("int").alias("tag"), F.col(text_col).alias("text")]
+    # rows of one id are told apart by 31 bits of their text's hash; where an id has one text, the tag is 0 and takes no room
+    whose, hashed = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), F.shiftrightunsigned(F.xxhash64(text_col), 33).cast("int")
+    several = df.select(whose.alias("id"), hashed.alias("tag")).groupBy("id").agg(F.min("tag").alias("p"), F.max("tag").alias("q")).where("p < q")
+    several = cut(several.select(F.col("id").alias("several")))
+    identity = [whose.alias("id"), hashed.alias("tag"), F.col(text_col).alias("text")]
     rest = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(df.columns)] if not digest else [F.col(id_col).alias("c0")]
     every = ["id", "tag", "text", "at", *(f"c{k}" for k in range(len(rest)))]
-    source = df.select(*identity, *rest)
+    source = df.select(*identity, *rest).join(several, F.col("id") == F.col("several"), "left")  # seldom any, so Spark broadcasts them
+    source = source.withColumn("tag", F.when(F.col("several").isNotNull(), F.col("tag")).otherwise(0)).drop("several")
     # one exchange of the packed texts, by id, serves the three passes; the lists joined to it are built into hash tables, so texts are never sorted
     packed = StructType([source.schema["id"], source.schema["tag"], StructField("text", BinaryType()), *source.schema.fields[3:]])
     moved = source.mapInArrow(_packed_rows, packed).where("id is not null and tag is not null").repartition(n, "id", "tag")

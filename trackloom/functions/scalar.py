@@ -36,15 +36,20 @@ SPREAD = ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F
 ORDER_BITS = 58
 
 
-def spread(x: Column) -> Column:
-    x = x.bitwiseAND(F.lit(0x1FFFFF).cast("bigint"))
+def _further(shift: int, mask: int):
+    return lambda v: v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask).cast("bigint"))
+
+
+def spread(values: Column) -> Column:
+    """An array of numbers with the 21 low bits of each spread out; every step names its number once, so the expression stays small."""
+    values = F.transform(values, lambda v: v.bitwiseAND(F.lit(0x1FFFFF).cast("bigint")))
     for shift, mask in SPREAD:
-        x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask).cast("bigint"))
-    return x
+        values = F.transform(values, _further(shift, mask))
+    return values
 
 
 def morton(x: Column, y: Column, z: Column) -> Column:
-    return spread(x).bitwiseOR(F.shiftleft(spread(y), 1)).bitwiseOR(F.shiftleft(spread(z), 2))
+    return F.aggregate(spread(F.array(z, y, x)), F.lit(0).cast("bigint"), lambda code, v: F.shiftleft(code, 1).bitwiseOR(v))
 
 
 def cell(v: Column, least: Column, step) -> Column:

@@ -53,3 +53,27 @@ def test_whole_table(spark, sf):
             order = [k for k in np.lexsort((ids, -s)) if ids[k] != i][:20]
             want += [(int(i), r, int(ids[k]), int(s[k])) for r, k in enumerate(order, 1)]
     assert got == sorted(want)
+
+
+def test_tiles_hold_every_pair():
+    for candidates, queries, tasks in ((1, 1, 8), (5, 1, 8), (30, 7, 4), (24_414, 9766, 4000)):
+        rows, columns = topk._grid(candidates, queries, tasks)
+        assert 1 <= rows <= candidates and 1 <= columns <= queries
+        assert candidates * columns + queries * rows <= 2 * candidates * queries
+    assert 24_414 * columns + 9766 * rows < 0.1 * 2 * 24_414 * 9766
+
+
+def test_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATES", 37)
+    monkeypatch.setattr(topk, "QUERIES_PER_BLOCK", 5)
+    monkeypatch.setattr(topk, "TILE", 3)
+    rng = np.random.default_rng(3)
+    v = rng.normal(0, 1, (400, 6))
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.search(df, F.col("vec_id") % 7 == 0, 9).collect())
+    w = np.floor(64 * v).astype(np.int64)
+    want = []
+    for q in range(0, 400, 7):
+        best = sorted((-int(w[q] @ w[c]), c) for c in range(400) if c != q)[:9]
+        want += [(q, r, c, -s) for r, (s, c) in enumerate(best, 1)]
+    assert got == want

@@ -7,7 +7,8 @@ largest first; the rest follow in key order so that every shard is filled to its
 alone exceed a shard's share; only then is such a text divided by id. A record's slot is its rank within its range plus the rows of the shard's earlier
 ranges, so no task sorts a whole shard. What reaches the driver is the sample and a line for each range, both bounded by the number of shards.
 
-Null texts have size 16 and the checksum of an empty text. A null id sorts last. Repeated rows take slots of their own. An empty table gives no rows.
+Null texts have size 16 and the checksum of an empty text. Rows with a null id come last and can be divided like any others. Repeated rows take slots of their own.
+Columns other than id and text play no part, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -121,7 +122,8 @@ def shard(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(
         F.col(id_col).alias("id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("tie"),
+        # rows without an id are told apart by their number in the written table
+        F.coalesce(F.col(id_col).cast("long"), F.lit(1 << 62) + F.monotonically_increasing_id() % (1 << 62)).alias("tie"),
     )
     rows = cut(rows)
     splitters, shard_of, first = plan(rows, shards)

@@ -8,7 +8,7 @@ blocks' lists are merged by rank. Every candidate is scored against every query.
 
 Vectors that are null or hold a null or non-finite component take no part, neither do rows with a null id. Missing trailing components count as
 zero. Scores beyond 64 bits are held at its ends. A query's own row is no candidate: rows of the query's id are left out. Repeated rows of
-another id each take a rank. Empty tables give no rows.
+another id each take a rank. Columns other than id and vector play no part, whatever their names. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm.shared import documents
+from trackloom.llm.shared import documents, partitions
 
 #: Candidates and queries of a block: what a task holds at once.
 CANDIDATES, QUERIES_PER_BLOCK = 4096, 512
+#: Pairs of blocks in a tile, where the blocks give so many.
+TILE = 256
 _ENDS = (-(1 << 63), (1 << 63) - 1)
 
 
@@ -153,17 +155,25 @@ def search(df: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, id
     every = df.where(is_query.isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), is_query.alias("q"))
     every = every.where("id is not null").where(valid("v")).withColumn("v", F.col("v").cast("array<double>"))
     n, queries = every.agg(F.count("*"), F.count_if("q")).first()
-    blocks = max(1, -(-queries // QUERIES_PER_BLOCK))
+    blocks, many = max(1, -(-queries // QUERIES_PER_BLOCK)), max(1, -(-n // CANDIDATES))
+    down, across = _grid(many, blocks, partitions(df.sparkSession))
     candidates = _blocks(every.select("id", "v"), CANDIDATES, n, scale).select(F.col("block").alias("c"), F.col("ids").alias("c_ids"), F.col("data").alias("c_data"))
     asked = _blocks(every.where("q").select("id", "v"), QUERIES_PER_BLOCK, queries, scale).select(F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    # the stated query blocks meet every candidate block: an equi-join on both numbers, so that each pair of blocks can be a task of its own
-    a = candidates.withColumn("q", F.explode(_numbers(blocks)))
-    b = asked.withColumn("c", F.explode(_numbers(max(1, -(-n // CANDIDATES)))))
-    met = a.join(b.hint("shuffle_hash"), ["c", "q"]).select("c", "c_ids", "c_data", "q_ids", "q_data")
+    # the stated query blocks meet every candidate block, in a grid of tiles: a block is sent once to each tile of its row or column, not once a pair
+    a = candidates.withColumn("row", F.col("c") % down).withColumn("column", F.explode(_numbers(across)))
+    b = asked.withColumn("column", F.col("q") % across).withColumn("row", F.explode(_numbers(down)))
+    met = a.join(b.hint("shuffle_hash"), ["row", "column"]).select("c", "c_ids", "c_data", "q_ids", "q_data")
     found = met.mapInArrow(_pairs(k, scale), "query_id long, vec_id long, score long")
     return ranked(found, k)
 
 
+def _grid(candidates: int, queries: int, tasks: int) -> tuple[int, int]:
+    """(rows, columns) of tiles of blocks: a tile a task at least (if there are so many pairs), TILE pairs a tile, and what is sent, candidates * columns + queries * rows, small."""
+    tiles = max(tasks, candidates * queries // TILE)
+    across = min(queries, max(1, round((tiles * queries / candidates) ** 0.5)))
+    return min(candidates, -(-tiles // across)), across
+
+
 def _numbers(n: int) -> Column:
     return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
 

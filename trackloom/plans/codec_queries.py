@@ -296,7 +296,8 @@ def stream_rollup(spark, sf_dir):
     return analysis.rollup(symbols.widths(long(spark, sf_dir)))
 
 
-@query(f"WITH {SYMBOLS}, {_STREAMS} SELECT sum(raw_bytes)::BIGINT AS out_bytes, round(320000.0 / sum(raw_bytes), 6) AS ratio, round(sum(raw_bytes) / 86.0, 6) AS bytes_per_frame, round(sum(raw_bytes) / 12900.0, 6) AS bytes_per_point FROM st")
+@query(f"WITH {SYMBOLS}, {_STREAMS}, us AS (SELECT count(*) AS n FROM events GROUP BY user_id), sz AS (SELECT sum(n) * 32.0 AS input, max(n) AS frames, count(*) AS entities FROM us)"
+       " SELECT sum(raw_bytes)::BIGINT AS out_bytes, round(any_value(input) / sum(raw_bytes), 6) AS ratio, round(sum(raw_bytes) / any_value(frames)::DOUBLE, 6) AS bytes_per_frame, round(sum(raw_bytes) / any_value(frames * entities)::DOUBLE, 6) AS bytes_per_point FROM st, sz")
 def stream_rates(spark, sf_dir):
     n = ev_track(spark, sf_dir).agg(F.count_distinct("frame").alias("frames"), F.count_distinct("entity").alias("entities"), (F.count("*") * 32).alias("input_bytes")).first()
     return analysis.rates(symbols.widths(long(spark, sf_dir)), n.frames, n.entities, n.input_bytes)

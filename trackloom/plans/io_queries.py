@@ -122,7 +122,7 @@ def stream_names(spark, sf_dir):
     return named.select("event_type", "name", F.split("name", r"\.")[1].alias("attr"), F.startswith("event_type", F.lit("p")).alias("p"), F.concat_ws("_", F.lit("gop30"), F.replace("event_type", F.lit("c"), F.lit("-"))).alias("cache_key"), "n")
 
 
-@query(f"WITH {EV} SELECT frame, 'bytes=' || frame * 32 || '-' || (frame * 32 + 31) AS range, frame * 32 AS first, frame * 32 + 31 AS last, round(frame / 20.0, 6) AS t, least(85, floor(frame / 20.0 * 20))::BIGINT AS at FROM ev GROUP BY frame")
+@query(f"WITH {EV} SELECT frame, 'bytes=' || frame * 32 || '-' || (frame * 32 + 31) AS range, frame * 32 AS first, frame * 32 + 31 AS last, round(frame / 20.0, 6) AS t, least((SELECT max(frame) FROM ev), floor(frame / 20.0 * 20))::BIGINT AS at FROM ev GROUP BY frame")
 def byte_ranges(spark, sf_dir):
     """Range headers of frames, parsed; frames to seconds and back."""
     from trackloom.operators.tracks import ev_track

@@ -69,7 +69,7 @@ def attribute_bins(sig: DataFrame, meta: DataFrame, attr: str, bounds: Bounds, e
     parts, integer = list(PARTS[attr]), attr not in FLOATS
     moving = meta.where(~F.col(f"st_{attr}")).select("entity", "ord")
     rows = sig.select("entity", "frame", *parts)
-    held = hold.hold(rows.join(moving.select("entity"), "entity", "left_semi"), parts, step, bound, integer) if exact else hold.stateless(rows, parts, step, integer)
+    held = hold.hold_buckets(rows.join(moving.select("entity"), "entity", "left_semi"), parts, step, bound, integer) if exact else hold.stateless(rows, parts, step, integer)
     return held.join(moving, "entity").select("ord", "frame", F.array(*(F.col(f"bin_{c}") for c in parts)).alias("b"))
 
 

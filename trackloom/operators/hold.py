@@ -53,8 +53,9 @@ def fold_tracks(v: np.ndarray, step, bound, integer: bool) -> np.ndarray:
     return out
 
 
-def hold_buckets(df: DataFrame, channels: list[str], step, bound, integer: bool, buckets: int = 64) -> DataFrame:
-    """The same by buckets of entities: a loop over frames, all entities of a bucket at once. More buckets for larger scenes."""
+def hold_buckets(df: DataFrame, channels: list[str], step, bound, integer: bool, buckets: int | None = None) -> DataFrame:
+    """The same by buckets of entities: a loop over frames, all entities of a bucket at once. Buckets grow in number with the shuffle partitions, unless they are given."""
+    buckets = buckets or max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     bins = [f"bin_{c}" for c in channels]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

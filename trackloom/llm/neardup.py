@@ -13,7 +13,7 @@ pair can have in common is bounded by the lesser count of such shared shingles;
 In each table key's bucket every class is confirmed against the bucket's least class by full sets; links make components. Where a
 bucket then still holds several components, the remaining pairs across them are confirmed too, unless their sizes, bitmaps of their sets
 (both exact bounds) or their min-hashes rule the similarity out (fewer than 27 of 64 equal has a chance of 1e-8 at 0.75). Pairs inside a
-component are never made. Nothing is capped: a bucket, a class or a centre of any size is spread over tasks by a hash of its members.
+component are never made. Nothing is capped: a half key, a bucket, a class or a centre of any size is spread over tasks by a hash of its members.
 
 Documents without words have no set and link with nothing; so do rows with a null id, whose component is null. Rows of one id count as one
 document, whatever their texts; each of these is compared. Other columns are carried along by `deduplicate`.
@@ -162,7 +162,7 @@ def table_keys(classes: DataFrame) -> DataFrame:
     """(table, kind, id, n): the combined keys of each class, of half keys that another class has too."""
     halves = classes.select("kind", F.posexplode(_half_keys()).alias("half", "h"))
     shared = halves.groupBy("h").agg(F.min("kind").alias("p"), F.max("kind").alias("q")).where("p < q").select("h")
-    mask = halves.join(shared, "h").groupBy("kind").agg(F.collect_set("half").alias("mine"))
+    mask = spread_join(halves, shared, ["h"], ["kind"]).groupBy("kind").agg(F.collect_set("half").alias("mine"))
     mask = mask.select("kind", F.filter("mine", lambda k: k < HALVES).alias("first"), F.filter("mine", lambda k: k >= HALVES).alias("second"))
     mask = mask.where("size(first) > 0 and size(second) > 0")
     keys = classes.join(mask, "kind").select("kind", "id", "n", _half_keys().alias("keys"), F.explode("first").alias("i"), "second")
@@ -227,7 +227,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = cut(classes.select(F.monotonically_increasing_id().alias("kind"), "least.id", "least.t", "n", "p", "q", "signature"))
     keys = cut(table_keys(classes))
     several = keys.groupBy("table").agg(F.min("kind").alias("p"), F.max("kind").alias("q")).where("p < q").select("table")
-    met = keys.join(several, "table").select("kind").distinct()
+    met = spread_join(keys, several, ["table"], ["kind"]).select("kind").distinct()
     # a class's text is that of the row it got its id from
     wanted = classes.join(met, "kind").select("id", "t", "kind")
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).where("id is not null and text is not null").join(wanted, ["id", "t"])
@@ -247,13 +247,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     mine = in_bucket.join(found.withColumnRenamed("least", "part"), in_bucket.id == found.v, "left")
     mine = mine.select("table", "kind", "id", "n", "s", F.col("least.kind").alias("centre"), F.coalesce("part", "id").alias("part"))
     mixed = mine.groupBy("table").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("table")
-    alone = cut(mine.join(mixed, "table").where("kind <> centre").select("kind", "id", "n", "s", "part").distinct())
+    alone = cut(spread_join(mine, mixed, ["table"], ["kind"]).where("kind <> centre").select("kind", "id", "n", "s", "part").distinct())
     bitmaps = texts.join(alone.select("kind"), "kind").mapInArrow(_bitmap_rows, "kind long, bits array<long>, ones long")
     rest = cut(alone.join(classes.select("kind", "signature"), "kind").withColumn("halves", _half_keys()).join(bitmaps, "kind"))
     halves = rest.select("*", F.posexplode(F.slice("halves", 1, HALVES)).alias("i", "h"))
     # a half key of many classes is met in squares of GROUP by GROUP of them
     tiles = halves.groupBy("h").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("tiles")).where("tiles > 1")
-    halves = halves.join(tiles, "h", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    halves = spread_join(halves, tiles, ["h"], ["kind"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     own = F.pmod(F.xxhash64("kind"), F.col("tiles")).cast("int")
     a = halves.withColumn("u", own).withColumn("v", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).alias("a")
     b = halves.withColumn("v", own).withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).alias("b")

@@ -17,9 +17,12 @@ from trackloom.session import ship
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which the cluster shares; only where that is unset (one machine) a temporary one."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """A new folder under spark.checkpoint.dir, which the cluster shares; where that is unset a temporary one, on a local master only, as no other executor could read it."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="trackloom-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
     return f"{root.rstrip('/')}/trackloom-{uuid.uuid4().hex}"

@@ -139,7 +139,7 @@ def stream_tumbling(spark, sf_dir):
     return stream.settle(stream.tumbling(stream.stream(spark, sf_dir), "1 day"), "complete")
 
 
-@query()
+@query("WITH s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 hour THEN 0 ELSE 1 END AS new FROM events)) SELECT user_id, floor(epoch(min(ts)))::BIGINT AS start, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 6 hour <= (SELECT max(ts) - INTERVAL 1 day FROM events)")
 def stream_session(spark, sf_dir):
     """Sessions that the watermark has closed."""
     return stream.settle(stream.sessions(stream.stream(spark, sf_dir), "6 hours"))

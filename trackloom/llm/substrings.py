@@ -35,7 +35,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from trackloom.llm.shared import U64, Words, bounded_batches, cut, documents, fold, mix, partitions, steps, text_bytes, with_facts
 
@@ -330,6 +330,8 @@ def check_bits(words: Words, start: np.ndarray, width: int) -> np.ndarray:
 
 
 def _kept_rows(window: int, names: list[str], digest: bool):
+    """Rows of the words that are left and of the text itself, unpacked; with digest of the words' SHA-256 only."""
+
     def run(batches):
         for b in batches:
             texts, starts = _unpacked(b.column(2)), b.column(3)
@@ -348,7 +350,8 @@ def _kept_rows(window: int, names: list[str], digest: bool):
                 for first, last in zip(w.first, w.last):
                     mine = np.flatnonzero(~gone[first:last]) + first
                     kept.append(b" ".join([w.raw[s:e] for s, e in zip(w.start[mine].tolist(), w.end[mine].tolist())]))
-                out = [pa.array([hashlib.sha256(t).hexdigest() for t in kept]) if digest else pa.array(kept, pa.binary()).cast(pa.string()), pa.array((w.last - w.first).astype(np.int64)), pa.array(removed.astype(np.int64))]
+                left = [pa.array([hashlib.sha256(t).hexdigest() for t in kept])] if digest else [pa.array(kept, pa.binary()).cast(pa.string()), texts.slice(i, j - i).cast(pa.string())]
+                out = [*left, pa.array((w.last - w.first).astype(np.int64)), pa.array(removed.astype(np.int64))]
                 yield pa.RecordBatch.from_arrays([*out, *(b.column(k).slice(i, j - i) for k in range(4, b.num_columns - 1))], names)
 
     return run
@@ -393,8 +396,10 @@ def _deduplicated(df: DataFrame, id_col: str, text_col: str, window: int, digest
     several = df.select(whose.alias("id"), hashed.alias("tag")).groupBy("id").agg(F.min("tag").alias("p"), F.max("tag").alias("q")).where("p < q")
     several = cut(several.select(F.col("id").alias("several")))
     identity = [whose.alias("id"), hashed.alias("tag"), F.col(text_col).alias("text")]
-    rest = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(df.columns)] if not digest else [F.col(id_col).alias("c0")]
-    every = ["id", "tag", "text", "at", *(f"c{k}" for k in range(len(rest)))]
+    # the text travels packed only, and its own column is made of that
+    carried = {f"c{k}": c for k, c in enumerate(df.columns) if c != text_col} if not digest else {"c0": id_col}
+    rest = [F.col(f"`{c}`").alias(name) for name, c in carried.items()]
+    every = ["id", "tag", "text", "at", *carried]
     source = df.select(*identity, *rest).join(several, F.col("id") == F.col("several"), "left")  # seldom any, so Spark broadcasts them
     source = source.withColumn("tag", F.when(F.col("several").isNotNull(), F.col("tag")).otherwise(0)).drop("several")
     # one exchange of the packed texts, by id, serves the three passes; the lists joined to it are built into hash tables, so texts are never sorted
@@ -406,11 +411,10 @@ def _deduplicated(df: DataFrame, id_col: str, text_col: str, window: int, digest
     second = moved.join(found.hint("shuffle_hash"), ["id", "tag"]).select(*every)
     repeats = _shared(second.mapInArrow(_window_rows(window), Meeting.SCHEMA), True)
     third = whole.join(repeats.hint("shuffle_hash"), ["id", "tag"], "left").select(*every, "copy")
-    kept = [("kept", "string"), ("n_words", "bigint"), ("n_removed", "bigint")]
-    names = [*(c for c, _ in kept), *every[4:]]
-    schema = StructType([*spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in kept)).schema, *(third.schema[c] for c in every[4:])])
-    out = third.mapInArrow(_kept_rows(window, names, digest), schema)
-    return out.select(*every[4:], *(c for c, _ in kept))
+    made = [StructField("kept", StringType()), *([] if digest else [StructField(f"c{df.columns.index(text_col)}", StringType())]), StructField("n_words", LongType()), StructField("n_removed", LongType())]
+    schema = StructType([*made, *(third.schema[c] for c in carried)])
+    out = third.mapInArrow(_kept_rows(window, schema.names, digest), schema)
+    return out.select(*(f"c{k}" for k in range(1 if digest else len(df.columns))), "kept", "n_words", "n_removed")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import re
 from collections import Counter
 
 import pytest
@@ -58,3 +59,11 @@ def test_edge_cases(spark):
     out = Mixer(df).apply(df)
     assert out.columns == df.columns and {str(r.doc_id) for r in out.collect()} == {"1", "2", "None", "4"}
     assert Mixer(df.limit(0)).schedule().count() == 0
+
+
+def test_tokens_of_any_script(spark):
+    texts = ["plain words  here\n\ttoo", "caf\u00e9 na\u00efve \u0440\u0443\u0441", "\u4e2d\u6587 and words", "mix\u4e2d\u6587ed", "\u2019quoted\u2019 \u2014 dash", "\U0001f600 smile\U00020000s", "a\u00a0b\u3000c\x0b\x0c\x1cd",
+             "\u0e44\u0e17\u0e22 x", "\u0dff\u0e00", "\ud55c\uad6d \uc5b4", " ", "", None]
+    got = {r.i: r.t for r in spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", mixing.words("text").alias("t")).collect()}
+    unspaced = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"
+    assert got == {i: len(re.findall(rf"[{unspaced}]|[^\x20\x09-\x0D{unspaced}]+", t or "")) for i, t in enumerate(texts)}

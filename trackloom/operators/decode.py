@@ -18,8 +18,12 @@ def dequantize(kind: str, b: Column, step: float) -> Column:
 
 
 def overlay(base: DataFrame, dynamic: DataFrame, frames: DataFrame, channels: list[str], pitch, step) -> DataFrame:
-    """(entity, frame, value_c) for every entity and frame: dynamic bins where there are some, else the static base."""
-    every = base.join(F.broadcast(frames), F.col("frame").between(F.col("f0"), F.col("f1"))) if "f0" in base.columns else base.crossJoin(F.broadcast(frames))  # frames: a row a frame
+    """(entity, frame, value_c): dynamic bins where there are some, else the static base. `frames` has (entity, frame), the frames of each entity, or only
+    (frame), a row a frame; then every entity is shown in all of them, or in its own f0 .. f1 if the base has these."""
+    if "entity" in frames.columns:
+        every = base.join(frames, "entity")
+    else:
+        every = base.join(F.broadcast(frames), F.col("frame").between(F.col("f0"), F.col("f1"))) if "f0" in base.columns else base.crossJoin(F.broadcast(frames))
     d = dynamic.select("entity", "frame", *(F.col(f"bin_{c}").alias(f"_d_{c}") for c in channels))
     return every.join(d, ["entity", "frame"], "left").select("entity", "frame", *(F.coalesce(F.col(f"_d_{c}") * step, F.col(f"base_{c}") * pitch).alias(f"value_{c}") for c in channels))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.config import check_gop
+from trackloom.functions.ordering import neighbours, ordinals
 from trackloom.functions.scalar import symbol_width, unzigzag, zigzag
 
 
@@ -69,7 +70,10 @@ def sparse_events(held: DataFrame, b: str) -> DataFrame:
     """(entity, frame, gap, delta): only the changes, with the distance to the entity that changed before in the same frame."""
     w = Window.partitionBy("entity").orderBy("frame")
     c = held.select("entity", "frame", (F.col(b) - F.lag(b).over(w)).alias("delta")).where("delta <> 0")
-    return c.withColumn("gap", F.col("entity") - F.coalesce(F.lag("entity").over(Window.partitionBy("frame").orderBy("entity")), F.lit(0)))
+    # ranges of (frame, entity), as a frame can hold most entities
+    c = neighbours(ordinals(c, "frame", "entity"), "ord", ["frame", "entity"])
+    before = F.when(F.col("prev_frame") == F.col("frame"), F.col("prev_entity")).otherwise(0)
+    return c.select("entity", "frame", "delta", (F.col("entity") - before).alias("gap"))
 
 
 def gop_index(frames: DataFrame, gop: int, fps: float) -> DataFrame:

@@ -230,9 +230,7 @@ def static_overlay(spark, sf_dir):
     li = li_track(spark, sf_dir)
     s = classify.static_int(ranges(spark, sf_dir), ["c0"], 23)
     dynamic = hold.stateless(li.join(s.where("not static").select("entity"), "entity", "left_semi"), ["c0"], 47, True)
-    frames = li.select("frame").distinct()
-    there = li.select("entity", "frame")
-    shown = decode.overlay(s.select("entity", "base_c0"), dynamic, frames, ["c0"], 1, 47).join(there, ["entity", "frame"], "left_semi")
+    shown = decode.overlay(s.select("entity", "base_c0"), dynamic, li.select("entity", "frame"), ["c0"], 1, 47)
     return shown.select("entity", "frame", decode.dequantize("rgb", F.col("value_c0"), 1).cast("bigint").alias("shown"))
 
 
